@@ -42,7 +42,7 @@ s AS (SELECT * FROM symbols WHERE ingested_at IS NOT NULL QUALIFY row_number() O
 f AS (SELECT file_id, repo, {_NORM.format("any_value(repo_path)")} AS path, min(ingested_at) AS came, max(deleted_at) AS gone FROM files GROUP BY file_id, repo),
 t AS (SELECT symbol_key, repo, any_value(id) AS id, min(ingested_at) AS came, max(deleted_at) AS gone FROM symbols GROUP BY symbol_key, repo),
 r AS (
-  SELECT 'imports' AS ref_table, edge_key AS ref_key, 'from_path' AS ref_field, repo, {_NORM.format("from_path")} AS name, ingested_at AS at FROM i WHERE trim(from_path) <> ''
+  SELECT 'imports' AS ref_table, edge_key AS ref_key, 'from_path' AS ref_field, repo, {_NORM.format("from_path")} AS name, ingested_at AS arrived FROM i WHERE trim(from_path) <> ''
   UNION ALL SELECT 'imports', edge_key, 'to_path', repo, {_NORM.format("to_path")}, ingested_at FROM i WHERE is_relative AND trim(to_path) <> ''
   UNION ALL SELECT 'symbols', symbol_key, 'parent_id', repo, parent_id, ingested_at FROM s WHERE trim(parent_id) <> ''),
 names AS (
@@ -52,16 +52,16 @@ names AS (
   UNION SELECT name, name || '/__init__' || e FROM r, ext WHERE ref_field = 'to_path'
   UNION SELECT name, regexp_replace(name, '\\.(js|jsx|mjs|cjs)$', '') || e FROM r, ext WHERE ref_field = 'to_path' AND regexp_matches(name, '\\.(js|jsx|mjs|cjs)$')),
 live AS (
-  SELECT r.ref_table, r.ref_key, r.ref_field FROM r JOIN f ON r.repo = f.repo AND r.name = f.path WHERE ref_field = 'from_path' AND came <= at AND (gone IS NULL OR gone > at)
-  UNION SELECT r.ref_table, r.ref_key, r.ref_field FROM r JOIN names n ON r.name = n.name JOIN f ON r.repo = f.repo AND n.path = f.path WHERE ref_field = 'to_path' AND came <= at AND (gone IS NULL OR gone > at)
-  UNION SELECT r.ref_table, r.ref_key, r.ref_field FROM r JOIN t ON r.repo = t.repo AND r.name = t.id WHERE ref_field = 'parent_id' AND came <= at AND (gone IS NULL OR gone > at)),
-cases AS (SELECT ref_table, ref_key, ref_field, at FROM r ANTI JOIN live USING (ref_table, ref_key, ref_field))
+  SELECT r.ref_table, r.ref_key, r.ref_field FROM r JOIN f ON r.repo = f.repo AND r.name = f.path WHERE ref_field = 'from_path' AND came <= arrived AND (gone IS NULL OR gone > arrived)
+  UNION SELECT r.ref_table, r.ref_key, r.ref_field FROM r JOIN names n ON r.name = n.name JOIN f ON r.repo = f.repo AND n.path = f.path WHERE ref_field = 'to_path' AND came <= arrived AND (gone IS NULL OR gone > arrived)
+  UNION SELECT r.ref_table, r.ref_key, r.ref_field FROM r JOIN t ON r.repo = t.repo AND r.name = t.id WHERE ref_field = 'parent_id' AND came <= arrived AND (gone IS NULL OR gone > arrived)),
+cases AS (SELECT ref_table, ref_key, ref_field, arrived FROM r ANTI JOIN live USING (ref_table, ref_key, ref_field))
 """
 
 QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates, "p4_waiting": p4_waiting}
 SQL = {
     "p4_found": _CASES + "SELECT ref_table, ref_key, ref_field FROM cases",
     "p4_rates": _CASES
-    + """SELECT ref_table, ref_field, strftime(at AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS n_refs,
+    + """SELECT ref_table, ref_field, strftime(arrived AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS n_refs,
       count(*) FILTER ((ref_table, ref_key, ref_field) IN (SELECT (ref_table, ref_key, ref_field) FROM cases)) AS n_orphans FROM r GROUP BY ALL""",
 }
