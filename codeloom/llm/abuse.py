@@ -26,10 +26,10 @@ BUCKETS = 1 << 16
 LANDMARKS = 320
 DECAY = 0.6
 #: Words per window of a long sentence, and its step.
-WINDOW, STEP = 16, 8
+WINDOW, STEP = 10, 5
 ROUNDS = 4
 #: Least log odds of the four most telling words of a passage that starts the fit.
-SEED_ODDS = 5.0
+SEED_ODDS = 7.0
 
 # Characters written for letters.
 _LIKE = str.maketrans("абсԁеіјорѕтухһкмнαβεικνορτυχ", "abcdeijopstyxhkmhabeiknoptux")
@@ -166,14 +166,14 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> np.ndarray:
     live = np.ones(len(negative), bool)
     w = None
     for step in range(ROUNDS):
-        up = np.unique(pick)
+        up, times = np.unique(pick, return_counts=True)
         x = np.vstack([xo[up], xn[live]])
         y = np.concatenate([np.ones(len(up)), -np.ones(int(live.sum()))])
-        c = np.where(y > 0, 40.0 * max(1.0, live.sum() / (len(up) * 30)), 20.0)
+        c = np.concatenate([40.0 * times, np.full(int(live.sum()), 20.0)])  # a passage counts once per text that holds it
         w = _svm(x, y, c)
         so = xo @ w[:-1] + w[-1]
         # of each abusive text: its worst passage and every other that is clearly on the wrong side
-        pick = np.array(sorted({i for b in bad for i in [max((place[p] for p in b), key=so.__getitem__), *(place[p] for p in b if so[place[p]] > 0.5)] if so[i] > -0.3}))
+        pick = np.array([i for b in bad for i in {max((place[p] for p in b), key=so.__getitem__), *(place[p] for p in b if so[place[p]] > 0.5)} if so[i] > -0.2], dtype=np.int64)
         if not len(pick):
             break
         if step:  # passages of texts with a wrong verdict stand far on the other side

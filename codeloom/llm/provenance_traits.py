@@ -17,7 +17,7 @@ _LIBRARY = re.compile(
     r"(?i)^\W*(?:@license\s+)?[\w.@/-]+ v?\d+\.\d+\.\d+\b(?:\W|$)(?=.*(?:\(c\)|vendored|upstream|licen[cs]e|copyright|contributors|https?:)|\W*$)|\bvendored (?:copy|from)\b|^\W*\(c\) the \S+ contributors|\bupstream [0-9a-f]{7,40}\b"
 )
 _NUMBER = re.compile(r"(?<![\w.])-?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)[uUlLfF]?(?![\w.])")
-_FUNCTION = re.compile(r"\bfunction\b|=>|\bdef\s+\w|\bfunc\s|\bfn\s+\w|^\s*(?:public|private|protected|static)?[\w<>\[\], :*&]+\s+\*?\w+\s*\([^;{}]*\)\s*\{|\breturn\b|\bif\b|\bwhile\b", re.M)
+_FUNCTION = re.compile(r"\bfunction\b|=>|\bdef\s+\w|\bfunc\s|\bfn\s+\w|\w\([^;{}()\n]{0,200}\)\s*\{|\breturn\b|\bif\b|\bwhile\b")
 _IDENT = re.compile(r"[^\W\d]\w*")
 
 #: Least share of literals for bulk data, least characters of it; least share of long dense lines for minified text.
