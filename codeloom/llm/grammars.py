@@ -147,7 +147,7 @@ paren <- '(' inner ')'
 bracket <- '[' inner ']'
 brace <- '{' inner '}'
 inner <- (item)*
-unit <- paren / bracket / brace / !('}' / ')' / ']' / END) pair
+unit <- paren / bracket / brace / !('(' / '[' / '{' / '}' / ')' / ']' / END) pair
 pair <- !(binop &(')' / ']' / '}' / END / ';')) !(ID !NLB ID !NLB ID !NLB ID) ANY
 binop <- '+' / '-' / '/' / '%' / '==' / '!=' / '<' / '>' / '<=' / '>=' / '&&' / '||' / '=' / ':='
 """
@@ -166,7 +166,7 @@ paren <- '(' inner ')'
 bracket <- '[' inner ']'
 brace <- '{' inner '}'
 inner <- unit*
-unit <- paren / bracket / brace / !('}' / ')' / ']' / END) pair
+unit <- paren / bracket / brace / !('(' / '[' / '{' / '}' / ')' / ']' / END) pair
 pair <- !(binop &(')' / ']' / '}' / ';')) !(ID ID) ANY
 binop <- '+' / '-' / '/' / '%' / '==' / '!=' / '<=' / '>=' / '&&' / '='
 """
@@ -192,7 +192,7 @@ block <- '{' stmts '}'
 control <- type / ('if' / 'while' / 'for' / 'switch' / 'synchronized' / 'catch' / 'try') paren / 'else' / 'try' / 'do' / 'finally' / ('case' / 'default') (!':' !'->' !';' unit)* (':' / '->') / ID ':' / ';'
 until2 <- (!';' !'{' unit / brace &(')' / ';' / '.' / ','))+ ';' / (!';' unit)+ ';'
 inner <- unit*
-unit <- paren / bracket / brace / '{' inner '}' / !('}' / ')' / ']' / END) pair
+unit <- paren / bracket / brace / '{' inner '}' / !('(' / '[' / '{' / '}' / ')' / ']' / END) pair
 pair <- !(binop &(')' / ']' / '}' / ';')) !(ID ID ID) ANY
 binop <- '+' / '-' / '*' / '/' / '%' / '==' / '!=' / '<=' / '>=' / '&&' / '||' / '='
 """
@@ -206,19 +206,19 @@ brace <- '{' body '}'
 body <- (block / stmt)*
 block <- brace
 stmt <- ';' / !'}' (!';' !'{' !'}' unit2 / brace)* (';' / &brace / &'}' )
-unit2 <- paren / bracket / !(')' / ']' / END) pair
+unit2 <- paren / bracket / !('(' / '[' / '{' / ')' / ']' / END) pair
 inner <- (brace / unit)*
-unit <- paren / bracket / !('}' / ')' / ']' / END) pair
+unit <- paren / bracket / !('(' / '[' / '{' / '}' / ')' / ']' / END) pair
 pair <- !(binop &(')' / ']' / '}' / ';')) !(ID ID ID ID) ANY
 binop <- '+' / '-' / '/' / '%' / '==' / '!=' / '<=' / '>=' / '&&' / '||'
 """
 RUBY = """
 file <- inner END
 inner <- unit*
-unit <- 'OPEN' inner 'end' / paren / bracket / brace / !('}' / ')' / ']' / 'end' / END) pair
+unit <- 'OPEN' inner 'end' / paren / bracket / brace / !('OPEN' / '(' / '[' / '{' / '}' / ')' / ']' / 'end' / END) pair
 paren <- '(' inner ')'
 bracket <- '[' inner ']'
 brace <- '{' inner '}'
-pair <- !(binop &(')' / ']' / '}' / 'end' / END)) !(ID !NLB NUM !NLB ID) ANY
+pair <- !(binop &(')' / ']' / '}' / 'end' / END)) !(ID !NLB ID !NLB ID) !('===' '===') !('<<' '<<') !('>' '>' '>' '>') ANY
 binop <- '+' / '/' / '==' / '!=' / '<=' / '>=' / '&&' / '||' / '='
 """

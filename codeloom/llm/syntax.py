@@ -32,6 +32,7 @@ _WORDS = {"ruby": re.compile(r"(?:@{1,2}|\$)?[^\W\d]\w*(?:[?!](?![=~]))?|\$[\d!@
 _WORD = re.compile(r"[^\W\d]\w*")
 _CONFLICT = re.compile(r"^(?:<{7}(?: |$)|>{7}(?: |$)|={7}$|\|{7}(?: |$))", re.M)
 _KINDS = {".tsx": "tsx", ".jsx": "jsx", ".ts": "ts", ".mts": "ts", ".cts": "ts", ".js": "js", ".mjs": "js", ".cjs": "js"}
+_RUBY_WORDS = set("if unless while until and or not in then return rescue ensure else elsif when yield self nil true false super next break redo retry undef alias defined? raise require puts include extend private protected public module_function loop lambda proc".split())
 _OPENERS = set("class module def begin case".split())
 _MODIFIERS = set("if unless while until".split())
 
@@ -133,7 +134,7 @@ def tokens(text: str, ext: str) -> tuple[list[str], list[bool], list[int]]:
             elif w == "do" and not re.match(r"\s*(?:while|until|for)\b", line):
                 put("OPEN", at)
             else:
-                put("end" if w == "end" else "ID", at)
+                put("end" if w == "end" else "WORD" if w in _RUBY_WORDS else "ID", at)
         else:
             known = {"go": "package import func var const type", "rust": "use mod struct union enum trait unsafe impl static const type fn async extern crate pub", "java": "package import static class interface enum record public private protected final abstract sealed non strictfp synchronized native transient volatile default if while for switch catch try else do finally case throws extends super return new throw instanceof", "c": "public private protected return if else for while do switch case struct enum union class namespace using template const static unsigned long signed short inline extern typedef virtual constexpr volatile auto new delete throw operator typename friend explicit sizeof goto default"}[fam].split()
             if fam == "rust":
