@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 SAMPLE = 1500
 SAMPLE_CHARS = 20_000
 BUCKETS = 1 << 16
+_MULTIPLIERS = (0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1)
 LANDMARKS = 320
 DECAY = 0.6
 #: Words per window of a long sentence, and its step.
@@ -37,25 +38,33 @@ _LEET = str.maketrans("013457@$!", "oleastasi")
 # Skipped letters between the four letters of a subsequence.
 _GAPS = [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (0, 1, 1), (1, 0, 1)]
 _SPLIT = re.compile(r"(?<=[.!?;])\s+|\n+|(?<=\w): (?=\S)")
-_CODED = re.compile(r"[^\W_]*[^\W\d_][\d@$!]+[^\W_]*|[^\W_]*[\d@$!]+[^\W\d_][^\W_]*")
+_LETTER = r"a-z0-9@$!\u00df-\uffff"
+_CODED = re.compile(rf"(?<![{_LETTER}])(?=[0-9@$!]*[a-z])[{_LETTER}]*[0-9@$][{_LETTER}]*|(?<![{_LETTER}])[{_LETTER}]+![a-z][{_LETTER}]*")
+_MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]+")
+_TOKEN = re.compile(r"[^\W\d_]+(?:\*+[^\W\d_]*)*|[\"'`][^\W\d_]|[\"'`]")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_-]){3,}[^\W\d_](?![^\W_])")
 
 
 def normal(text: str) -> str:
     """Lower case, without accents, look-alike letters, zero-width characters and letters spaced out."""
-    t = unicodedata.normalize("NFKD", text).casefold().translate(_LIKE)
-    t = "".join(c for c in t if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+    t = text.lower() if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", text).casefold().translate(_LIKE))
     t = _SPACED.sub(lambda m: re.sub(r"[ .*_-]", "", m.group()), t)
-    return _CODED.sub(lambda m: m.group().translate(_LEET), t)
+    return _CODED.sub(_decoded, t)
+
+
+def _decoded(m: re.Match) -> str:
+    word = m.group()
+    digits = sum(c.isdigit() for c in word)
+    end = len(word.rstrip("!"))
+    return word[:end].translate(_LEET) + word[end:] if len(word) <= 16 and 2 * digits <= len(word) and digits < len(word) else word
 
 
 def passages(text: str) -> list[str]:
     """Normal form of every sentence with two words or more, in windows where it is long; quotes are kept as a mark."""
     out = []
     for part in _SPLIT.split(normal(text)):
-        words = re.findall(r"[^\W\d_]+(?:\*+[^\W\d_]*)*|[\"'`][^\W\d_]|[\"'`]", part)
-        words = [w for w in words if w]
-        if sum(w[0].isalpha() for w in words) < 2:
+        words = _TOKEN.findall(part)
+        if len(words) < 2 or len([w for w in words if w > "a"]) < 2:
             continue
         starts = range(0, max(1, len(words) - WINDOW + STEP), STEP) if len(words) > WINDOW else [0]
         out += [" " + " ".join(words[a : a + WINDOW]) + " " for a in starts]
@@ -64,26 +73,28 @@ def passages(text: str) -> list[str]:
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, bucket, weight) of the gapped subsequences of each text, one entry per bucket, rows of unit length."""
-    joined = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    joined = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+    parts = [(joined + np.uint32(1)) * np.uint32(k) for k in _MULTIPLIERS]
+    parts = [x ^ (x >> np.uint32(15)) for x in parts]
     row = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) for t in texts])
-    keys, weights = [], []
+    packed = []
     for a, b, c in _GAPS:
         at = (0, 1 + a, 2 + a + b, 3 + a + b + c)
         n = len(joined) - at[3]
         if n <= 0:
             continue
         same = row[:n] == row[at[3] :]
-        h = np.zeros(n, np.uint64)
-        for k in at:
-            h = (h ^ joined[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        keys.append((row[:n] * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64))[same])
-        weights.append(np.full(int(same.sum()), DECAY ** (a + b + c)))
-    if not keys:
+        h = parts[0][:n] + parts[1][at[1] : at[1] + n] * np.uint32(5) + parts[2][at[2] : at[2] + n] * np.uint32(25) + parts[3][at[3] : at[3] + n] * np.uint32(125)
+        bucket = (h * np.uint32(0x9E3779B1)) >> np.uint32(16)
+        packed.append(((row[:n] * BUCKETS + bucket) * 4 + (a + b + c))[same])
+    if not packed or not sum(map(len, packed)):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    unique, at = np.unique(np.concatenate(keys), return_inverse=True)
-    value = np.sqrt(np.bincount(at, np.concatenate(weights)))
-    r, k = unique // BUCKETS, unique % BUCKETS
+    every = np.concatenate(packed)
+    every.sort()
+    key = every >> 2
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    value = np.sqrt(np.add.reduceat((DECAY ** np.arange(4))[every & 3], first))
+    r, k = key[first] // BUCKETS, key[first] % BUCKETS
     norm = np.sqrt(np.bincount(r, value * value, len(texts)))
     return r, k, value / norm[r]
 
@@ -97,11 +108,11 @@ def scores(texts: list[str], weights: np.ndarray) -> np.ndarray:
 def _project(texts: list[str], basis: np.ndarray) -> np.ndarray:
     """Rows of kernel values against the landmarks, basis being (BUCKETS, landmarks)."""
     out = np.zeros((len(texts), basis.shape[1]), np.float32)
-    for a in range(0, len(texts), 256):
-        r, k, v = features(texts[a : a + 256])
-        dense = np.zeros((min(256, len(texts) - a), BUCKETS), np.float32)
-        dense[r, k] = v
-        out[a : a + 256] = dense @ basis
+    for a in range(0, len(texts), 64):
+        r, k, v = features(texts[a : a + 64])
+        if len(r):
+            starts = np.flatnonzero(np.diff(r, prepend=-1))
+            out[a + r[starts]] = np.add.reduceat(basis[k] * v[:, None].astype(np.float32), starts, axis=0)
     return out
 
 
@@ -208,8 +219,8 @@ def scored(documents: DataFrame, model: np.ndarray) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            for a in range(0, len(pdf), 64):
-                part = pdf.iloc[a : a + 64]
+            for a in range(0, len(pdf), 256):
+                part = pdf.iloc[a : a + 256]
                 bags = [passages(t) if isinstance(t, str) and t else [] for t in part["text"]]
                 unique = list(dict.fromkeys(p for b in bags for p in b))
                 known = dict(zip(unique, scores(unique, weights), strict=True)) if unique else {}
