@@ -55,83 +55,143 @@ class Grammar:
         return item
 
 
-def compiled(grammar: Grammar):
-    """parse(kinds, breaks) -> (accepted, furthest): kinds are the tokens' names, breaks whether a line break precedes."""
-    state = {"k": [], "b": [], "memo": {}, "far": 0}
-
-    def build(node):
+class _Writer:
+    """Python source of the rules: one function per rule, in which i is the position and -1 stands for failure."""
+
+    def __init__(self, grammar: Grammar):
+        self.rules = grammar.rules
+        self.sets: list[frozenset] = []
+        self.lines: list[str] = []
+        self.count = 0
+        self.first = {name: (frozenset(), False) for name in self.rules}
+        while True:  # least fixed point of what each rule may begin with
+            new = {name: self._first(node) for name, node in self.rules.items()}
+            if new == self.first:
+                break
+            self.first = new
+
+    def _first(self, node) -> tuple[frozenset | None, bool]:
+        """(kinds that a match may begin with, None for all; may it match without a token)."""
         op, arg = node
         if op == "tok":
-            if arg == "NLB":
-                return lambda i: i if state["b"][i] else -1
-            if arg == "ANY":
-                return lambda i: i + 1 if i < len(state["k"]) - 1 and state["k"][i] != "BAD" else -1
-
-            def tok(i):
-                if state["k"][i] == arg:
-                    return i + 1
-                if i > state["far"]:
-                    state["far"] = i
-                return -1
-
-            return tok
+            return (frozenset(), True) if arg == "NLB" else (None, False) if arg == "ANY" else (frozenset([arg]), False)
         if op == "rule":
-            def rule(i, arg=arg):
-                key = (arg, i)
-                memo = state["memo"]
-                if key not in memo:
-                    memo[key] = -1
-                    memo[key] = made[arg](i)
-                return memo[key]
-
-            return rule
-        if op == "seq":
-            items = [build(x) for x in arg]
-
-            def seq(i):
-                for f in items:
-                    i = f(i)
-                    if i < 0:
-                        return -1
-                return i
-
-            return seq
-        if op == "or":
-            options = [build(x) for x in arg]
-
-            def choice(i):
-                for f in options:
-                    j = f(i)
-                    if j >= 0:
-                        return j
-                return -1
-
-            return choice
-        f = build(arg)
-        if op == "!":
-            return lambda i: i if f(i) < 0 else -1
-        if op == "&":
-            return lambda i: i if f(i) >= 0 else -1
-        if op == "?":
-            return lambda i: j if (j := f(i)) >= 0 else i
-
-        def repeat(i):
-            j = f(i)
-            if j < 0:
-                return i if op == "*" else -1
-            while j > i:
-                i, j = j, f(j)
-            return i
-
-        return repeat
-
-    made = {}
-    for name, node in grammar.rules.items():
-        made[name] = build(node)
+            return self.first[arg]
+        if op in ("!", "&"):
+            return frozenset(), True
+        if op in ("*", "?", "+"):
+            kinds, empty = self._first(arg)
+            return kinds, empty or op != "+"
+        kinds, empty = frozenset(), op == "seq"
+        for x in arg:
+            more, skips = self._first(x)
+            kinds = None if kinds is None or more is None else kinds | more
+            if op == "or":
+                empty = empty or skips
+            elif not skips:
+                return kinds, False
+        return kinds, empty
+
+    def _put(self, depth: int, *lines: str) -> None:
+        self.lines += [" " * depth + x for x in lines]
+
+    def _name(self, prefix: str) -> str:
+        self.count += 1
+        return f"{prefix}{self.count}"
+
+    def _guard(self, node) -> str | None:
+        """A test that fails where node cannot begin; None where it always may or is a single token."""
+        kinds, empty = self._first(node)
+        if empty or kinds is None or node[0] == "tok":
+            return None
+        if len(kinds) == 1:
+            return f"k[i] == {next(iter(kinds))!r}"
+        if kinds not in self.sets:
+            self.sets.append(kinds)
+        return f"k[i] in s{self.sets.index(kinds)}"
+
+    def _tried(self, node, depth: int) -> None:
+        test = self._guard(node)
+        if test:
+            self._put(depth, f"if {test}:")
+            self._node(node, depth + 1)
+            self._put(depth, "else:", " if i > far: far = i", " i = -1")
+        else:
+            self._node(node, depth)
+
+    def _node(self, node, depth: int) -> None:
+        op, arg = node
+        if op == "tok" and arg == "NLB":
+            self._put(depth, "if not b[i]: i = -1")
+        elif op == "tok" and arg == "ANY":
+            self._put(depth, "i = i + 1 if k[i] != 'BAD' and k[i] != 'END' else -1")
+        elif op == "tok":
+            self._put(depth, f"if k[i] == {arg!r}: i += 1", "else:", " if i > far: far = i", " i = -1")
+        elif op == "rule":
+            self._put(depth, f"i = r_{arg}(i)")
+        elif op == "seq":
+            for n, x in enumerate(arg):
+                if n:
+                    self._put(depth, "if i >= 0:")
+                    depth += 1
+                self._node(x, depth)
+            if not arg:
+                self._put(depth, "pass")
+        elif op == "or":
+            start = self._name("a")
+            self._put(depth, f"{start} = i")
+            for n, x in enumerate(arg):
+                if n:
+                    self._put(depth, "if i < 0:", f" i = {start}")
+                self._tried(x, depth + bool(n))
+        elif op in ("!", "&"):
+            start = self._name("a")
+            self._put(depth, f"{start} = i")
+            self._tried(arg, depth)
+            self._put(depth, f"i = {start} if i {'<' if op == '!' else '>='} 0 else -1")
+        elif op == "?":
+            start = self._name("a")
+            self._put(depth, f"{start} = i")
+            self._tried(arg, depth)
+            self._put(depth, f"if i < 0: i = {start}")
+        else:
+            start = self._name("a")
+            if op == "+":
+                self._node(arg, depth)
+                self._put(depth, "if i >= 0:")
+                depth += 1
+            self._put(depth, "while True:", f" {start} = i")
+            self._tried(arg, depth + 1)
+            self._put(depth, f" if i <= {start}:", f"  i = {start}", "  break")
+
+    def source(self, start: str) -> str:
+        for name, node in self.rules.items():
+            self._put(1, f"def r_{name}(i):", " nonlocal far")
+            test = self._guard(node)
+            if test:
+                self._put(2, f"if not {test}:" if "==" not in test else f"if {test.replace('==', '!=')}:", " if i > far: far = i", " return -1")
+            self._put(2, f"at = i; i = m_{name}.get(at)", "if i is not None: return i", "i = at", f"m_{name}[at] = -1")
+            self._node(node, 2)
+            self._put(2, f"m_{name}[at] = i", "return i")
+        head = ["def make(sets):", " k = []; b = []; far = 0", *(f" s{n} = sets[{n}]" for n in range(len(self.sets))), *(f" m_{name} = {{}}" for name in self.rules)]
+        clear = "; ".join(f"m_{name}.clear()" for name in self.rules)
+        tail = [" def run(kinds, breaks):", "  nonlocal k, b, far", f"  k = kinds; b = breaks; far = 0; {clear}", f"  return r_{start}(0), far", " return run"]
+        return "\n".join([*head, *self.lines, *tail])
+
+
+def compiled(grammar: Grammar):
+    """parse(kinds, breaks) -> (accepted, furthest): kinds are the tokens' names, breaks whether a line break precedes.
+
+    A rule or alternative whose first token cannot match is not entered; what it would have cost is the only difference.
+    """
+    writer = _Writer(grammar)
+    scope: dict = {}
+    exec(writer.source(grammar.start), scope)  # noqa: S102 - source made from the grammar above alone
+    run = scope["make"](writer.sets)
 
     def parse(kinds: list[str], breaks: list[bool]) -> tuple[bool, int]:
-        state.update(k=[*kinds, "END"], b=[*breaks, True], memo={}, far=0)
-        end = made[grammar.start](0)
-        return end == len(kinds) + 1, state["far"] if end != len(kinds) + 1 else len(kinds)
+        end, far = run([*kinds, "END"], [*breaks, True])
+        good = end == len(kinds) + 1
+        return good, len(kinds) if good else far
 
     return parse

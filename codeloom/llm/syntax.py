@@ -32,6 +32,13 @@ _WORDS = {"ruby": re.compile(r"(?:@{1,2}|\$)?[^\W\d]\w*(?:[?!](?![=~]))?|\$[\d!@
 _WORD = re.compile(r"[^\W\d]\w*")
 _CONFLICT = re.compile(r"^(?:<{7}(?: |$)|>{7}(?: |$)|={7}$|\|{7}(?: |$))", re.M)
 _KINDS = {".tsx": "tsx", ".jsx": "jsx", ".ts": "ts", ".mts": "ts", ".cts": "ts", ".js": "js", ".mjs": "js", ".cjs": "js"}
+# Keywords of the languages with coarse grammars.
+_KEYWORDS = {
+    "go": frozenset("package import func var const type return if else for range switch case default go defer chan map struct interface select goto fallthrough".split()),
+    "rust": frozenset("use mod struct union enum trait unsafe impl static const type fn async extern crate pub let mut return if else match for in while loop as ref move dyn where await break".split()),
+    "java": frozenset("package import static class interface enum record public private protected final abstract sealed non strictfp synchronized native transient volatile default if while for switch catch try else do finally case throws extends super return new throw instanceof".split()),
+    "c": frozenset("public private protected return if else for while do switch case struct enum union class namespace using template const static unsigned long signed short inline extern typedef virtual constexpr volatile auto new delete throw operator typename friend explicit sizeof goto default".split()),
+}
 _RUBY_WORDS = set("if unless while until and or not in then return rescue ensure else elsif when yield self nil true false super next break redo retry undef alias defined? raise require puts include extend private protected public module_function loop lambda proc".split())
 _OPENERS = set("class module def begin case".split())
 _MODIFIERS = set("if unless while until".split())
@@ -50,6 +57,7 @@ def tokens(text: str, ext: str) -> tuple[list[str], list[bool], list[int]]:
     tail = re.compile(r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|\d[\d_']*(?:\.(?![.\w])|\.[\d_]+)?(?:[eE][-+]?\d+)?|\.\d[\d_]*(?:[eE][-+]?\d+)?)" + _NUM_TAIL[fam] + r"(?!\w)" if fam != "go" else _NUM.pattern)
     ops = _PY_OP if fam == "python" else _OP
     names = _WORDS.get(fam, _WORD)
+    keywords = _KEYWORDS.get(fam, frozenset())
     kinds: list[str] = []
     breaks: list[bool] = []
     places: list[int] = []
@@ -136,12 +144,7 @@ def tokens(text: str, ext: str) -> tuple[list[str], list[bool], list[int]]:
             else:
                 put("end" if w == "end" else "WORD" if w in _RUBY_WORDS else "ID", at)
         else:
-            known = {"go": "package import func var const type", "rust": "use mod struct union enum trait unsafe impl static const type fn async extern crate pub", "java": "package import static class interface enum record public private protected final abstract sealed non strictfp synchronized native transient volatile default if while for switch catch try else do finally case throws extends super return new throw instanceof", "c": "public private protected return if else for while do switch case struct enum union class namespace using template const static unsigned long signed short inline extern typedef virtual constexpr volatile auto new delete throw operator typename friend explicit sizeof goto default"}[fam].split()
-            if fam == "rust":
-                known += ["let", "mut", "return", "if", "else", "match", "for", "in", "while", "loop", "as", "ref", "move", "dyn", "where", "await", "break"]
-            if fam == "go":
-                known += ["return", "if", "else", "for", "range", "switch", "case", "default", "go", "defer", "chan", "map", "struct", "interface", "select", "goto", "fallthrough"]
-            put(w if w in known else "ID", at)
+            put(w if w in keywords else "ID", at)
 
     at = 0
     for a, b, kind in found:
