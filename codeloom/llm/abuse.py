@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -37,9 +38,9 @@ _LIKE = str.maketrans("абсԁеіјорѕтухһкмнαβεικνορτυχ"
 _LEET = str.maketrans("013457@$!", "oleastasi")
 # Skipped letters between the four letters of a subsequence.
 _GAPS = [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (0, 1, 1), (1, 0, 1)]
-_SPLIT = re.compile(r"(?<=[.!?;])\s+|\n+|(?<=\w): (?=\S)")
+_SPLIT = re.compile(r"[.!?;]\s+|\n+|:(?<=\w:) (?=\S)")
 _LETTER = r"a-z0-9@$!\u00df-\uffff"
-_CODED = re.compile(rf"(?<![{_LETTER}])(?=[0-9@$!]*[a-z])[{_LETTER}]*[0-9@$][{_LETTER}]*|(?<![{_LETTER}])[{_LETTER}]+![a-z][{_LETTER}]*")
+_CODED = re.compile(rf"(?<![{_LETTER}])(?=[a-zß-￿]*+[0-9@$!])(?:(?=[0-9@$!]*[a-z])[{_LETTER}]*[0-9@$][{_LETTER}]*|[{_LETTER}]+![a-z][{_LETTER}]*)")
 _MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]+")
 _TOKEN = re.compile(r"[^\W\d_]+(?:\*+[^\W\d_]*)*|[\"'`][^\W\d_]|[\"'`]")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_-]){3,}[^\W\d_](?![^\W_])")
@@ -59,50 +60,107 @@ def _decoded(m: re.Match) -> str:
     return word[:end].translate(_LEET) + word[end:] if len(word) <= 16 and 2 * digits <= len(word) and digits < len(word) else word
 
 
-def passages(text: str) -> list[str]:
-    """Normal form of every sentence with two words or more, in windows where it is long; quotes are kept as a mark."""
+def _sentences(text: str) -> list[list[str]]:
+    """Words of every sentence with two words or more, of the normal form; quotes are kept as a mark."""
     out = []
     for part in _SPLIT.split(normal(text)):
         words = _TOKEN.findall(part)
-        if len(words) < 2 or len([w for w in words if w > "a"]) < 2:
-            continue
-        starts = range(0, max(1, len(words) - WINDOW + STEP), STEP) if len(words) > WINDOW else [0]
-        out += [" " + " ".join(words[a : a + WINDOW]) + " " for a in starts]
-    return list(dict.fromkeys(out))
+        if len(words) > 1 and (words[0] > "a" and words[1] > "a" or sum(w > "a" for w in words) > 1):
+            out.append(words)
+    return out
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket, weight) of the gapped subsequences of each text, one entry per bucket, rows of unit length."""
-    joined = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
-    parts = [(joined + np.uint32(1)) * np.uint32(k) for k in _MULTIPLIERS]
-    parts = [x ^ (x >> np.uint32(15)) for x in parts]
-    row = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) for t in texts])
-    packed = []
+def _starts(n: int) -> range:
+    return range(0, max(1, n - WINDOW + STEP), STEP) if n > WINDOW else range(1)
+
+
+def passages(text: str) -> list[str]:
+    """Every sentence between spaces, in windows where it is long."""
+    return list(dict.fromkeys(" " + " ".join(words[a : a + WINDOW]) + " " for words in _sentences(text) for a in _starts(len(words))))
+
+
+def _grams(joined: str):
+    """(weight, letters covered, bucket at each offset) of each pattern of gaps over a text."""
+    code = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+    parts = [(code + np.uint32(1)) * np.uint32(k) for k in _MULTIPLIERS]
+    parts = [(x ^ (x >> np.uint32(15))) * np.uint32(5**n) for n, x in enumerate(parts)]
     for a, b, c in _GAPS:
         at = (0, 1 + a, 2 + a + b, 3 + a + b + c)
-        n = len(joined) - at[3]
-        if n <= 0:
-            continue
-        same = row[:n] == row[at[3] :]
-        h = parts[0][:n] + parts[1][at[1] : at[1] + n] * np.uint32(5) + parts[2][at[2] : at[2] + n] * np.uint32(25) + parts[3][at[3] : at[3] + n] * np.uint32(125)
-        bucket = (h * np.uint32(0x9E3779B1)) >> np.uint32(16)
-        packed.append(((row[:n] * BUCKETS + bucket) * 4 + (a + b + c))[same])
-    if not packed or not sum(map(len, packed)):
+        n = len(code) - at[3]
+        if n > 0:
+            h = parts[0][:n] + parts[1][at[1] : at[1] + n]
+            h += parts[2][at[2] : at[2] + n]
+            h += parts[3][at[3] :]
+            h *= np.uint32(0x9E3779B1)
+            h >>= np.uint32(16)
+            yield DECAY ** (a + b + c), at[3] + 1, h
+
+
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, weight) of every gapped subsequence of each text, in order of rows; the squares of a row sum to 1."""
+    row = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) for t in texts])
+    rows, buckets, values = [], [], []
+    for weight, span, bucket in _grams("".join(texts)):
+        n = len(bucket)
+        same = row[:n] == row[span - 1 :]
+        rows.append(row[:n][same])
+        buckets.append(bucket[same].astype(np.int64))
+        values.append(np.full(len(rows[-1]), weight))
+    if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    every = np.concatenate(packed)
-    every.sort()
-    key = every >> 2
-    first = np.flatnonzero(np.diff(key, prepend=-1))
-    value = np.sqrt(np.add.reduceat((DECAY ** np.arange(4))[every & 3], first))
-    r, k = key[first] // BUCKETS, key[first] % BUCKETS
-    norm = np.sqrt(np.bincount(r, value * value, len(texts)))
-    return r, k, value / norm[r]
+    r, k, v = np.concatenate(rows), np.concatenate(buckets), np.concatenate(values)
+    order = np.argsort(r, kind="stable")
+    r, k, v = r[order], k[order], v[order]
+    norm = np.sqrt(np.bincount(r, v * v, len(texts)))
+    return r, k, v / norm[r]
+
+
+def _window_scores(joined: str, begin: np.ndarray, end: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Decision value of each window [begin, end) of joined: running sums of its subsequences, over their norm."""
+    total, square = np.zeros(len(begin)), np.zeros(len(begin))
+    for weight, span, bucket in _grams(joined):
+        run = np.concatenate([[0.0], np.cumsum(weights[bucket])])
+        last = np.maximum(end - span + 1, begin)
+        total += weight * (run[last] - run[begin])
+        square += weight * weight * (last - begin)
+    return total / np.sqrt(np.maximum(square, 1e-9)) + weights[-1]
 
 
 def scores(texts: list[str], weights: np.ndarray) -> np.ndarray:
     """Decision value of each passage; weights holds one number per bucket and the constant at its end."""
-    r, k, v = features(texts)
-    return np.bincount(r, v * weights[k], len(texts)) + weights[-1]
+    end = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    begin = np.concatenate([[0], end[:-1]]).astype(np.int64) if len(texts) else end
+    return _window_scores("".join(texts), begin, end, weights)
+
+
+def text_scores(texts: list[str | None], weights: np.ndarray) -> list[float]:
+    """Score of each whole text: that of its worst passage, -1 where it has none."""
+    pieces: list[str] = []
+    begin: list[int] = []
+    end: list[int] = []
+    counts: list[int] = []
+    at = 0
+    for text in texts:
+        n = len(begin)
+        for words in _sentences(text) if text else ():
+            joined = " " + " ".join(words) + " "
+            if len(words) <= WINDOW:
+                begin.append(at)
+                end.append(at + len(joined))
+            else:
+                edge = [at, *accumulate((len(w) + 1 for w in words), initial=at)][1:]  # the space before each word, and the last
+                for a in _starts(len(words)):
+                    begin.append(edge[a])
+                    end.append(edge[min(a + WINDOW, len(words))] + 1)
+            pieces.append(joined)
+            at += len(joined)
+        counts.append(len(begin) - n)
+    if not begin:
+        return [-1.0] * len(texts)
+    values = _window_scores("".join(pieces), np.array(begin), np.array(end), weights)
+    firsts = np.concatenate([[0], np.cumsum(counts)])
+    worst = np.maximum.reduceat(values, np.minimum(firsts[:-1], len(values) - 1))
+    return [float(w) if n else -1.0 for w, n in zip(worst, counts, strict=True)]
 
 
 def _project(texts: list[str], basis: np.ndarray) -> np.ndarray:
@@ -165,7 +223,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> np.ndarray:
     marks += [negative[i] for i in rng.permutation(len(negative))[: LANDMARKS - len(marks)]]
     r, k, v = features(marks)
     lands = np.zeros((len(marks), BUCKETS), np.float32)
-    lands[r, k] = v
+    np.add.at(lands, (r, k), v)
     values, vectors = np.linalg.eigh((lands @ lands.T).astype(np.float64))
     good = values > 1e-4
     basis = (lands.T @ (vectors[:, good] / np.sqrt(values[good]))).astype(np.float32)
@@ -221,9 +279,7 @@ def scored(documents: DataFrame, model: np.ndarray) -> DataFrame:
         for pdf in batches:
             for a in range(0, len(pdf), 256):
                 part = pdf.iloc[a : a + 256]
-                bags = [passages(t) if isinstance(t, str) and t else [] for t in part["text"]]
-                unique = list(dict.fromkeys(p for b in bags for p in b))
-                known = dict(zip(unique, scores(unique, weights), strict=True)) if unique else {}
-                yield pd.DataFrame({"doc_id": part["doc_id"].values, "score": [max((known[p] for p in b), default=-1.0) for b in bags]})
+                texts = [t if isinstance(t, str) else None for t in part["text"]]
+                yield pd.DataFrame({"doc_id": part["doc_id"].values, "score": text_scores(texts, weights)})
 
     return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
