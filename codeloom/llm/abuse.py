@@ -163,15 +163,35 @@ def text_scores(texts: list[str | None], weights: np.ndarray) -> list[float]:
     return [float(w) if n else -1.0 for w, n in zip(worst, counts, strict=True)]
 
 
-def _project(texts: list[str], basis: np.ndarray) -> np.ndarray:
-    """Rows of kernel values against the landmarks, basis being (BUCKETS, landmarks)."""
-    out = np.zeros((len(texts), basis.shape[1]), np.float32)
-    for a in range(0, len(texts), 64):
-        r, k, v = features(texts[a : a + 64])
-        if len(r):
-            starts = np.flatnonzero(np.diff(r, prepend=-1))
-            out[a + r[starts]] = np.add.reduceat(basis[k] * v[:, None].astype(np.float32), starts, axis=0)
-    return out
+class _Landmarks:
+    """Nystrom features: whitened kernel values against the landmarks, which are kept by bucket."""
+
+    def __init__(self, marks: list[str]):
+        mark, bucket, value = features(marks)
+        order = np.argsort(bucket, kind="stable")
+        self.n, self.mark, self.bucket, self.value = len(marks), mark[order], bucket[order], value[order]
+        self.starts = np.searchsorted(self.bucket, np.arange(BUCKETS + 1))
+        values, vectors = np.linalg.eigh(self.kernel(marks))
+        good = values > 1e-4
+        self.whiten = vectors[:, good] / np.sqrt(values[good])
+
+    def kernel(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.n))
+        for a in range(0, len(texts), 256):
+            part = texts[a : a + 256]
+            r, k, v = features(part)
+            times = self.starts[k + 1] - self.starts[k]
+            at = np.repeat(self.starts[k] - np.cumsum(times) + times, times) + np.arange(times.sum())  # every landmark entry of the bucket
+            cell = np.repeat(r, times) * self.n + self.mark[at]
+            out[a : a + len(part)] = np.bincount(cell, np.repeat(v, times) * self.value[at], len(part) * self.n).reshape(len(part), self.n)
+        return out
+
+    def project(self, texts: list[str]) -> np.ndarray:
+        return self.kernel(texts) @ self.whiten
+
+    def by_bucket(self, w: np.ndarray) -> np.ndarray:
+        """Weights of the projected features as one weight per bucket."""
+        return np.bincount(self.bucket, self.value * (self.whiten @ w)[self.mark], BUCKETS)
 
 
 def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -221,15 +241,10 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> np.ndarray:
     half = LANDMARKS // 2
     marks = [pool_bad[i] for i in rng.permutation(len(pool_bad))[:half]]
     marks += [negative[i] for i in rng.permutation(len(negative))[: LANDMARKS - len(marks)]]
-    r, k, v = features(marks)
-    lands = np.zeros((len(marks), BUCKETS), np.float32)
-    np.add.at(lands, (r, k), v)
-    values, vectors = np.linalg.eigh((lands @ lands.T).astype(np.float64))
-    good = values > 1e-4
-    basis = (lands.T @ (vectors[:, good] / np.sqrt(values[good]))).astype(np.float32)
-    xn = _project(negative, basis)
+    lands = _Landmarks(marks)
+    xn = lands.project(negative)
     options = sorted({p for b in bad for p in b})
-    xo = _project(options, basis)
+    xo = lands.project(options)
     place = {p: i for i, p in enumerate(options)}
     pick = np.array([place[p] for p in chosen])
     live = np.ones(len(negative), bool)
@@ -247,7 +262,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> np.ndarray:
             break
         if step:  # passages of texts with a wrong verdict stand far on the other side
             live = (xn @ w[:-1] + w[-1]) < 0.35
-    return np.concatenate([basis @ w[:-1], w[-1:]])
+    return np.concatenate([lands.by_bucket(w[:-1]), w[-1:]])
 
 
 def verdicts(labels: DataFrame) -> DataFrame:
