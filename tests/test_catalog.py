@@ -3,12 +3,12 @@
 import duckdb
 import pytest
 
-from codeloom.plans import catalog, orphans
+from codeloom.plans import catalog, orphans, pages
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents events files imports index_state symbols".split()
-SQL = {**orphans.SQL, **catalog.SQL}
-QUERIES = {**orphans.QUERIES, **catalog.QUERIES}
+SQL = {**orphans.SQL, **catalog.SQL, **pages.SQL}
+QUERIES = {**orphans.QUERIES, **catalog.QUERIES, **pages.QUERIES}
 
 
 @pytest.fixture(scope="module")
@@ -40,3 +40,8 @@ def test_empty_tables(spark):
     files, symbols, edges = catalog.c.live_files(empty["files"]), catalog.c.symbols_once(empty["symbols"]), catalog.c.edges_once(empty["imports"])
     for df in (catalog.c.dependents(edges), catalog.c.public_surface(symbols, files), catalog.c.state_diff(files, empty["index_state"]), catalog.c.entries(files, symbols)):
         assert df.count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(set(pages.QUERIES) - set(pages.SQL)))
+def test_query_without_sql_gives_rows(spark, name):
+    assert QUERIES[name](spark, SF).count() > 0
