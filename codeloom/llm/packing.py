@@ -4,9 +4,9 @@ One pass counts tokens; everything after it works on (doc_id, tokens). Texts lon
 pieces and a rest. The global histogram of piece lengths, which has at most capacity entries whatever the corpus, goes to
 the driver: dynamic programming chooses the length buckets of least padding, and token-budget batches are planned bucket
 by bucket from the longest, as patterns with a count. A batch takes the longest lengths of its own bucket that still fit;
-space no item of the bucket can use is topped up from smaller buckets. Pieces find their container from their rank among
-the pieces of equal length: ranks come from salted windows plus offsets, so that a length that a third of all texts share
-is never one task.
+batches that this fills to the last token stay, and the pieces of all others are combined across buckets in a second
+step, again the longest that fit. Pieces find their container from their rank among the pieces of equal length: ranks
+come from salted windows plus offsets, so that a length that a third of all texts share is never one task.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from codeloom.llm.tokens import VOCABULARY, n_tokens
 from codeloom.session import cut
 
 BUCKETS = 16
+#: Most containers that the buckets may cost, as a share of those without buckets; beyond it there are none.
+MORE = 0.01
 #: Pieces of one length that one task ranks.
 RANK_ROWS = 50_000
 
@@ -82,40 +84,67 @@ class Plan:
     n_containers: int
 
 
+def _batches(left: dict[int, int], capacity: int):
+    """(pattern, repeat, free) of token-budget batches, each of the longest remaining lengths that fit; empties left.
+    Each pattern is repeated until one of its lengths is used up, so there are no more patterns than distinct lengths."""
+    order = sorted(left)
+    while order:
+        pattern: dict[int, int] = {}
+        free, hi = capacity, len(order)
+        while hi > 0:
+            hi = int(np.searchsorted(order[:hi], free, side="right"))
+            if hi == 0:
+                break
+            x = order[hi - 1]
+            m = min(free // x, left[x])
+            pattern[x] = m
+            free -= m * x
+            hi -= 1
+        repeat = min(left[x] // m for x, m in pattern.items())
+        for x, m in pattern.items():
+            left[x] -= m * repeat
+            if left[x] == 0:
+                order.pop(int(np.searchsorted(order, x)))
+        yield pattern, repeat, free
+
+
 def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, bounds: list[int]) -> Plan:
-    """Batches bucket by bucket from the longest lengths. Each pattern of a batch is repeated until one of its lengths is
-    used up, so there are no more patterns than distinct lengths."""
+    """Batches of each bucket's own lengths, from the longest bucket; then the left-over partial batches combined across
+    buckets."""
     left = {int(x): int(n) for x, n in zip(lengths, counts, strict=True) if n > 0 and x > 0}
     used = dict.fromkeys(left, 0)
-    order = sorted(left)
     rows, containers = [], 0
-    lows = [0, *bounds[:-1]]
-    for low, _ in sorted(zip(lows, bounds, strict=True), reverse=True):
-        while order and order[-1] > low:
-            pattern: dict[int, int] = {}
-            free, hi = capacity, len(order)
-            while hi > 0:
-                # the longest remaining length that fits: of this bucket as long as there is one, then of smaller ones
-                hi = int(np.searchsorted(order[:hi], free, side="right"))
-                if hi == 0:
-                    break
-                x = order[hi - 1]
-                m = min(free // x, left[x])
-                pattern[x] = m
-                free -= m * x
-                hi -= 1
-            repeat = min(left[x] // m for x, m in pattern.items())
-            for x, m in pattern.items():
-                rows.append((x, used[x], containers, m))
-                used[x] += m * repeat
-                left[x] -= m * repeat
-                if left[x] == 0:
-                    order.pop(int(np.searchsorted(order, x)))
-            containers += repeat
+
+    def close(pattern: dict[int, int], repeat: int) -> None:
+        nonlocal containers
+        for x, m in pattern.items():
+            rows.append((x, used[x], containers, m))
+            used[x] += m * repeat
+        containers += repeat
+
+    partial: dict[int, int] = {}
+    lows = [0, *bounds][: len(bounds)]
+    for low, high in sorted(zip(lows, bounds, strict=True), reverse=True):
+        for pattern, repeat, free in _batches({x: n for x, n in left.items() if low < x <= high}, capacity):
+            if free == 0:
+                close(pattern, repeat)
+            else:
+                for x, m in pattern.items():
+                    partial[x] = partial.get(x, 0) + m * repeat
+    for pattern, repeat, _ in _batches(partial, capacity):
+        close(pattern, repeat)
     a = np.array(sorted(rows), np.int64).reshape(-1, 4)
     return Plan(a[:, 0], a[:, 1], a[:, 2], a[:, 3], containers)
 
 
+def best_plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, k: int = BUCKETS) -> Plan:
+    """The plan with at most k buckets, or, where that needs more than MORE of the containers of one bucket, the latter:
+    short pieces bound in batches of their own can be the only ones that fit beside long ones."""
+    bounds = bucket_bounds(lengths, counts, k)
+    dealt, one = plan(lengths, counts, capacity, bounds), plan(lengths, counts, capacity, bounds[-1:])
+    return dealt if dealt.n_containers <= one.n_containers + max(1, int(MORE * one.n_containers)) else one
+
+
 def pieces(documents: DataFrame, specs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(spec_id, capacity, doc_id, piece, start_token, n_tokens): whole texts, or full pieces and a rest of those longer
     than the capacity. Texts without tokens are one piece of 0."""
@@ -142,7 +171,7 @@ def pack(documents: DataFrame, specs: DataFrame, path: str = VOCABULARY, k: int
     for (spec, capacity), h in histogram.groupby(["spec_id", "capacity"]):
         h = h[h["n_tokens"] > 0].sort_values("n_tokens")
         lengths, counts = h["n_tokens"].to_numpy(np.int64), h["n"].to_numpy(np.int64)
-        plans[int(spec)] = plan(lengths, counts, int(capacity), bucket_bounds(lengths, counts, k))
+        plans[int(spec)] = best_plan(lengths, counts, int(capacity), k)
     salts = int(max([1, *(histogram["n"] // RANK_ROWS + 1)])) if len(histogram) else 1
     key = ["spec_id", "n_tokens", "salt"]
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
