@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.secrets import located, masked_documents
-from codeloom.session import table
+from codeloom.llm.secrets import located, masked_documents, masked_symbols
+from codeloom.session import cut, table
 
 
 def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +18,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with their credentials masked."""
-    return masked_documents(table(spark, sf_dir, "documents"), _located(spark, sf_dir))
+    """tbl, row_key, field, text and n_masked: all documents, signatures and docstrings with their credentials masked."""
+    found = cut(_located(spark, sf_dir))
+    d = masked_documents(table(spark, sf_dir, "documents"), found).select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("row_key"), F.lit("text").alias("field"), "text", "n_masked")
+    return d.unionByName(masked_symbols(table(spark, sf_dir, "symbols"), found).withColumn("tbl", F.lit("symbols")))
 
 
 def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:

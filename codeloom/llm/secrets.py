@@ -25,12 +25,15 @@ SAMPLE = 30_000
 THRESHOLD = 0.5
 NAME_BUCKETS = 64
 
-_ASSIGNED = re.compile(r"""(?P<n>[A-Za-z_][\w.\-]{0,60})["']?\]?(?:\s*:\s*[\w<>\[\], ]{1,30}?\s*=|\s*(?:=>|:=|[:=]))\s*(?:[\w:.]{1,20}\()?(?:[bfru]{0,2}(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q)).){4,2000})(?P=q)(?:\s*(?:\+|\.\.|\\)?\s*(?P<q2>["'`])(?P<v2>[^"'`]{4,200})(?P=q2))?|(?P<b>[^\s"'`,;(){}\[\]<>]{6,400})(?![\w(.\[]))""")
+_ASSIGNED = re.compile(r"""(?P<n>[A-Za-z_][\w.\-]{0,60})["']?\]?(?:\s*:\s*[\w<>\[\], ]{1,30}?\s*=|\s*(?:=>|:=|[:=]))\s*(?:[\w:.]{1,20}\()?(?:[bfru]{0,2}(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q)).){4,2000})(?P=q)|(?P<b>[^\s"'`,;(){}\[\]<>]{6,400})(?![\w(.\[]))""")
+# A further literal of the same value: next to the last one on its line, or on the next line after an operator.
+_JOINED = re.compile(r"""(?:[ \t]*(?:\+|\.\.|\\)[ \t]*(?:\r?\n[ \t]*)?|[ \t]*\r?\n[ \t]*(?:\+|\.\.)[ \t]*|[ \t]*)[bfru]{0,2}(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\])+)(?P=q)""")
 _AUTH = re.compile(r"(?i)\b(?P<n>bearer|basic|authorization|password|passwort|passwd|pwd|token|secret|api[ _-]?key|mot de passe|contrase.a)\s*(?:is|ist|:|=|est|es)?\s+[\"'`]?(?P<v>[^\s\"'`,;]{8,400})")
 _WORD = re.compile(r"(?<![\w+/=.-])(?=[\w+/=.-]*\d)(?=[\w+/=.-]*[A-Za-z])[\w+/=.-]{16,400}")
 _URL = re.compile(r"[a-z][a-z0-9+]{1,15}://(?P<u>[^\s:/@\"'`]{0,60}):(?P<v>[^\s/@\"'`]{3,120})@")
 _CONNECT = re.compile(r"(?i)[;\s\"'](?P<n>pwd|password)=(?P<v>[^;\"'\s]{4,120})")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)-----")
+_KEY_LINE = re.compile(r"(?:[\s\"'`+,;#*>|()-]|\\[nr\\])*([A-Za-z0-9+/=]+)(?:[\s\"'`+,;)}\]\\]|\\[nr])*")
 
 # Formats that issuers publish for their credentials.
 _FORMAT = re.compile(
@@ -51,11 +54,38 @@ def body(value: str) -> str:
     return value[m.end() :] if m else value
 
 
+def key_end(text: str, at: int) -> int:
+    """End of the key whose header ends at an offset: its -----END where most lines before it are base64, else the end of
+    the base64 lines that follow, at itself where none do."""
+    end, other = text.find("-----END", at), text.find("-----BEGIN ", at)
+    if end >= 0 and (other < 0 or end < other):
+        lines = [x for x in re.split(r"\n|\\n", text[at:end]) if re.search(r"\w", x)]
+        if len(lines) <= 2 * sum(bool(_KEY_LINE.fullmatch(x)) for x in lines):
+            return end
+    last, solid = at, False
+    for m in re.finditer(r"(?:\\(?!n)|[^\n\\])*(?:\n|\\n|$)", text[at:]):
+        line = re.sub(r"(?:\\n|\n)$", "", m.group())
+        k = _KEY_LINE.fullmatch(line)
+        if k and (len(k.group(1)) >= 16 or solid and re.search(r"\d|[+/=]|[a-z][A-Z]", k.group(1))):
+            last, solid = at + m.start() + k.end(1), True
+        elif re.search(r"\w", line) and (solid or not re.match(r"\W*(?:Proc-Type|DEK-Info|Comment|Version)\b", line)):
+            # the key may share its last line with other text
+            k = re.match(r"[\s\"'`+,#*>|-]*([A-Za-z0-9+/=]{16,})(?![\w-])", line)
+            return at + m.start() + k.end(1) if k else last
+        if m.end() == len(text) - at:
+            break
+    return last
+
+
 def candidates(text: str) -> list[tuple[int, int, int, str, str, str]]:
-    """(line, start, end, name, value, how) of every possible credential; start and end are offsets in the text."""
+    """(line, start, end, name, value, how) of every possible credential; start and end are offsets in the text.
+
+    A value written in several literals gives one row per literal, all with the whole value and its first line.
+    """
     out, at = [], 0
     lines = text.split("\n")
     inside = False
+    joined: list[tuple[int, int]] = []  # literals of values that began on an earlier line
     dense = [len(x) > 24 and bool(re.fullmatch(r"[\s\"'`+,]*[A-Za-z0-9+/=]{20,}[\s\"'`+,;)\\]*", x)) for x in lines]
     for no, line in enumerate(lines, 1):
         start, at = at, at + len(line) + 1
@@ -70,14 +100,24 @@ def candidates(text: str) -> list[tuple[int, int, int, str, str, str]]:
             continue
         if inside or len(line) < 8 or (dense[no - 1] and ((no > 1 and dense[no - 2]) or (no < len(lines) and dense[no]))) or len(line) > 20_000:
             continue
-        taken: list[tuple[int, int]] = []
+        joined = [x for x in joined if x[1] > start]
+        taken: list[tuple[int, int]] = [(a - start, b - start) for a, b in joined]
 
-        def add(m, group, name, how, value=None, no=no, start=start, taken=taken):
+        def add(m, group, name, how, no=no, start=start, taken=taken, joined=joined):
             a, b = m.span(group)
             if any(x < b and a < y for x, y in taken):
                 return
             taken.append((a, b))
-            out.append((no, start + a, start + b, name, value or m.group(group), how))
+            value, more = m.group(group), []
+            if how == "quoted":
+                end = start + m.end()
+                while n := _JOINED.match(text, end):
+                    more.append(n.span("v"))
+                    value, end = value + n.group("v"), n.end()
+            for c, d in [(start + a, start + b), *more]:
+                out.append((no, c, d, name, value, how))
+            joined.extend(more)
+            taken.extend((c - start, d - start) for c, d in more)
 
         for m in _URL.finditer(line):
             add(m, "v", m.group("u"), "url")
@@ -85,7 +125,7 @@ def candidates(text: str) -> list[tuple[int, int, int, str, str, str]]:
             add(m, "v", m.group("n"), "connection")
         for m in _ASSIGNED.finditer(line):
             if m.group("v"):
-                add(m, "v", m.group("n"), "quoted", m.group("v") + (m.group("v2") or ""))
+                add(m, "v", m.group("n"), "quoted")
             else:
                 add(m, "b", m.group("n"), "bare")
         for m in _AUTH.finditer(line):
@@ -194,27 +234,27 @@ def fit(rows: list[tuple[str, str, str, str]]) -> Model:
 
 
 def extracted(documents: DataFrame, symbols: DataFrame) -> DataFrame:
-    """tbl, row_key, field, path and each candidate of all texts, signatures and docstrings; nulls give no rows.
+    """tbl, row_key, field, path, text_hash and each candidate of all texts, signatures and docstrings; nulls give no rows.
 
-    Symbols delivered again count once per different text.
+    A symbol delivered again may have another text, so text_hash tells which text the offsets belong to.
     """
-    d = documents.where("doc_id IS NOT NULL AND text <> ''").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("row_key"), F.lit("text").alias("field"), F.coalesce("repo_path", F.lit("")).alias("path"), "text")
+    d = documents.where("doc_id IS NOT NULL AND text <> ''").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("row_key"), F.lit("text").alias("field"), F.coalesce("repo_path", F.lit("")).alias("path"), F.xxhash64("text").alias("text_hash"), "text")
     parts = [
-        symbols.where(F.col("symbol_key").isNotNull() & (F.col(c) != "")).select(F.lit("symbols").alias("tbl"), F.col("symbol_key").alias("row_key"), F.lit(c).alias("field"), F.coalesce("file", F.lit("")).alias("path"), F.col(c).alias("text"))
+        symbols.where(F.col("symbol_key").isNotNull() & (F.col(c) != "")).select(F.lit("symbols").alias("tbl"), F.col("symbol_key").alias("row_key"), F.lit(c).alias("field"), F.coalesce("file", F.lit("")).alias("path"), F.xxhash64(c).alias("text_hash"), F.col(c).alias("text"))
         for c in ("signature", "docstring")
     ]
 
     def run(batches):
         for pdf in batches:
-            out = [(t, k, f, p, *c) for t, k, f, p, x in pdf.itertuples(index=False) for c in candidates(x)]
-            yield pd.DataFrame(out, columns=["tbl", "row_key", "field", "path", "line_no", "at", "until", "name", "value", "how"])
+            out = [(t, k, f, p, h, *c) for t, k, f, p, h, x in pdf.itertuples(index=False) for c in candidates(x)]
+            yield pd.DataFrame(out, columns=["tbl", "row_key", "field", "path", "text_hash", "line_no", "at", "until", "name", "value", "how"])
 
-    schema = "tbl string, row_key long, field string, path string, line_no int, at int, until int, name string, value string, how string"
+    schema = "tbl string, row_key long, field string, path string, text_hash long, line_no int, at int, until int, name string, value string, how string"
     return d.unionByName(parts[0]).unionByName(parts[1]).mapInPandas(run, schema)
 
 
 def located(documents: DataFrame, symbols: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """tbl, row_key, field, line_no, at, until and probability of every candidate at or above THRESHOLD."""
+    """tbl, row_key, field, text_hash, line_no, at, until and probability of every candidate at or above THRESHOLD."""
     found = cut(extracted(documents, symbols))
     rows = found.select("name", "value", "how", "path").orderBy(F.xxhash64("value", "name"), "value", "name", "how", "path").limit(sample).collect()
     model = fit([tuple(r) for r in rows])
@@ -223,27 +263,46 @@ def located(documents: DataFrame, symbols: DataFrame, sample: int = SAMPLE) -> D
         for pdf in batches:
             # the exact check behind the score: forms that are no credentials whatever their score
             p = [model.probability(n, v, h, q) if weak(n, v, h) else 0.0 for n, v, h, q in pdf[["name", "value", "how", "path"]].itertuples(index=False)]
-            yield pdf[["tbl", "row_key", "field", "line_no", "at", "until"]].assign(probability=np.array(p, dtype=float))
+            yield pdf[["tbl", "row_key", "field", "text_hash", "line_no", "at", "until"]].assign(probability=np.array(p, dtype=float))
 
-    return found.mapInPandas(run, "tbl string, row_key long, field string, line_no int, at int, until int, probability double").where(F.col("probability") >= THRESHOLD)
+    return found.mapInPandas(run, "tbl string, row_key long, field string, text_hash long, line_no int, at int, until int, probability double").where(F.col("probability") >= THRESHOLD)
 
 
-def masked_documents(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, text and n_masked: every located span of letters and digits written as x, all else kept."""
-    spans = found.where("tbl = 'documents'").groupBy(F.col("row_key").alias("doc_id")).agg(F.collect_set(F.struct("at", "until")).alias("spans"))
+def mask(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
+    """The text with letters and digits of every span written as x, all else kept, and the number of spans masked; of the
+    header of a private key, the key behind it."""
+    n = 0
+    for a, b in spans:
+        if text.startswith("-----BEGIN", a):
+            a, b = b, key_end(text, b)
+        n += b > a
+        text = text[:a] + re.sub(r"(?<!\\)[A-Za-z0-9]", "x", text[a:b]) + text[b:]
+    return text, n
+
+
+def _masked(texts: DataFrame, found: DataFrame, key: list[str], schema: str) -> DataFrame:
+    spans = found.groupBy(*key).agg(F.collect_set(F.struct("at", "until")).alias("spans"))
 
     def run(batches):
         for pdf in batches:
-            texts = []
-            for text, cuts in zip(pdf["text"], pdf["spans"], strict=True):
-                if isinstance(text, str) and cuts is not None:
-                    for c in cuts:
-                        a, b = c["at"], c["until"]
-                        if text.startswith("-----BEGIN", a):
-                            end = text.find("-----END", b)
-                            a, b = b, end if end >= 0 else b
-                        text = text[:a] + re.sub(r"(?<!\\)[A-Za-z0-9]", "x", text[a:b]) + text[b:]
-                texts.append(text)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": texts, "n_masked": [0 if c is None else len(c) for c in pdf["spans"]]})
-
-    return documents.select("doc_id", "text").join(spans, "doc_id", "left").mapInPandas(run, "doc_id long, text string, n_masked int")
+            done = [(t, 0) if t is None or c is None else mask(t, [(x["at"], x["until"]) for x in c]) for t, c in zip(pdf["text"], pdf["spans"], strict=True)]
+            yield pdf.drop(columns=["spans"]).assign(text=[t for t, _ in done], n_masked=np.array([n for _, n in done], dtype="int32"))
+
+    return texts.join(spans, key, "left").select(*texts.columns, "spans").mapInPandas(run, schema)
+
+
+def masked_documents(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, text and n_masked of every document, its located spans masked."""
+    found = found.where("tbl = 'documents'").withColumnRenamed("row_key", "doc_id")
+    return _masked(documents.select("doc_id", "text"), found, ["doc_id"], "doc_id long, text string, n_masked int")
+
+
+def masked_symbols(symbols: DataFrame, found: DataFrame) -> DataFrame:
+    """row_key, field, text and n_masked of every signature and docstring, its located spans masked.
+
+    Symbols delivered again give one row per different text; null keys and null texts give none.
+    """
+    f = [symbols.where(F.col("symbol_key").isNotNull() & F.col(c).isNotNull()).select(F.col("symbol_key").alias("row_key"), F.lit(c).alias("field"), F.col(c).alias("text")) for c in ("signature", "docstring")]
+    texts = f[0].unionByName(f[1]).distinct().withColumn("text_hash", F.xxhash64("text"))
+    schema = "row_key long, field string, text string, text_hash long, n_masked int"
+    return _masked(texts, found.where("tbl = 'symbols'"), ["row_key", "field", "text_hash"], schema).drop("text_hash")
