@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
@@ -25,13 +26,14 @@ SAMPLE = 30_000
 THRESHOLD = 0.5
 NAME_BUCKETS = 64
 
-_ASSIGNED = re.compile(r"""(?P<n>[A-Za-z_][\w.\-]{0,60})["']?\]?(?:\s*:\s*[\w<>\[\], ]{1,30}?\s*=|\s*(?:=>|:=|[:=]))\s*(?:[\w:.]{1,20}\()?(?:[bfru]{0,2}(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q)).){4,2000})(?P=q)|(?P<b>[^\s"'`,;(){}\[\]<>]{6,400})(?![\w(.\[]))""")
+# A name is taken from the start of its run of characters and never given back, so long lines cost no more than short ones.
+_ASSIGNED = re.compile(r"""(?<![\w.\-])(?:[^\WA-Za-z_]|[.\-])*+(?P<n>[A-Za-z_][\w.\-]*+)["']?\]?(?:\s*:\s*[\w<>\[\], ]{1,30}?\s*=|\s*(?:=>|:=|[:=]))\s*(?:[\w:.]{1,20}\()?(?:[bfru]{0,2}(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q)).){4,2000}(?=(?P=q))|[^\s"'`]{2001,})(?P=q)|(?P<b>[^\s"'`,;(){}\[\]<>]{6,})(?![\w(.\[]))""")
 # A further literal of the same value: next to the last one on its line, or on the next line after an operator.
 _JOINED = re.compile(r"""(?:[ \t]*(?:\+|\.\.|\\)[ \t]*(?:\r?\n[ \t]*)?|[ \t]*\r?\n[ \t]*(?:\+|\.\.)[ \t]*|[ \t]*)[bfru]{0,2}(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\])+)(?P=q)""")
-_AUTH = re.compile(r"(?i)\b(?P<n>bearer|basic|authorization|password|passwort|passwd|pwd|token|secret|api[ _-]?key|mot de passe|contrase.a)\s*(?:is|ist|:|=|est|es)?\s+[\"'`]?(?P<v>[^\s\"'`,;]{8,400})")
-_WORD = re.compile(r"(?<![\w+/=.-])(?=[\w+/=.-]*\d)(?=[\w+/=.-]*[A-Za-z])[\w+/=.-]{16,400}")
-_URL = re.compile(r"[a-z][a-z0-9+]{1,15}://(?P<u>[^\s:/@\"'`]{0,60}):(?P<v>[^\s/@\"'`]{3,120})@")
-_CONNECT = re.compile(r"(?i)[;\s\"'](?P<n>pwd|password)=(?P<v>[^;\"'\s]{4,120})")
+_AUTH = re.compile(r"(?i)\b(?P<n>bearer|basic|authorization|password|passwort|passwd|pwd|token|secret|api[ _-]?key|mot de passe|contrase.a)\s*(?:is|ist|:|=|est|es)?\s+[\"'`]?(?P<v>[^\s\"'`,;]{8,})")
+_WORD = re.compile(r"(?<![\w+/=.-])(?=[\w+/=.-]*\d)(?=[\w+/=.-]*[A-Za-z])[\w+/=.-]{16,}")
+_URL = re.compile(r"[a-z][a-z0-9+]{1,15}://(?P<u>[^\s:/@\"'`]*):(?P<v>[^\s/@\"'`]{3,})@")
+_CONNECT = re.compile(r"(?i)[;\s\"'](?P<n>pwd|password)=(?P<v>[^;\"'\s]{4,})")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)-----")
 _KEY_LINE = re.compile(r"(?:[\s\"'`+,;#*>|()-]|\\[nr\\])*([A-Za-z0-9+/=]+)(?:[\s\"'`+,;)}\]\\]|\\[nr])*")
 
@@ -84,30 +86,25 @@ def candidates(text: str) -> list[tuple[int, int, int, str, str, str]]:
     """
     out, at = [], 0
     lines = text.split("\n")
-    inside = False
+    key_until = 0
     joined: list[tuple[int, int]] = []  # literals of values that began on an earlier line
     dense = [len(x) > 24 and bool(re.fullmatch(r"[\s\"'`+,]*[A-Za-z0-9+/=]{20,}[\s\"'`+,;)\\]*", x)) for x in lines]
     for no, line in enumerate(lines, 1):
         start, at = at, at + len(line) + 1
-        if "-----BEGIN " in line:
-            for m in _PEM.finditer(line):
-                out.append((no, start + m.start(), start + m.end(), "", m.group(), "pem"))
-            inside = "-----END " not in line
-            if "PRIVATE" not in line:
-                continue
-        if "-----END " in line:
-            inside = False
-            continue
-        if inside or len(line) < 8 or (dense[no - 1] and ((no > 1 and dense[no - 2]) or (no < len(lines) and dense[no]))) or len(line) > 20_000:
+        if at - 1 <= key_until or len(line) < 8:
             continue
+        near = (no > 1 and dense[no - 2]) or (no < len(lines) and dense[no])
         joined = [x for x in joined if x[1] > start]
-        taken: list[tuple[int, int]] = [(a - start, b - start) for a, b in joined]
+        taken = sorted((a - start, b - start) for a, b in joined)  # never overlap
+        if key_until > start:
+            taken.insert(0, (0, key_until - start))
 
         def add(m, group, name, how, no=no, start=start, taken=taken, joined=joined):
             a, b = m.span(group)
-            if any(x < b and a < y for x, y in taken):
+            i = bisect_left(taken, (a, b))
+            if (i and taken[i - 1][1] > a) or (i < len(taken) and taken[i][0] < b):
                 return
-            taken.append((a, b))
+            taken.insert(i, (a, b))
             value, more = m.group(group), []
             if how == "quoted":
                 end = start + m.end()
@@ -117,11 +114,18 @@ def candidates(text: str) -> list[tuple[int, int, int, str, str, str]]:
             for c, d in [(start + a, start + b), *more]:
                 out.append((no, c, d, name, value, how))
             joined.extend(more)
-            taken.extend((c - start, d - start) for c, d in more)
+            for c, d in more:
+                insort(taken, (c - start, d - start))
 
-        for m in _URL.finditer(line):
+        for m in _PEM.finditer(line) if "-----BEGIN " in line else ():
+            if start + m.start() < key_until:
+                continue
+            out.append((no, start + m.start(), start + m.end(), "", m.group(), "pem"))
+            key_until = key_end(text, start + m.end())
+            insort(taken, (m.start(), max(m.end(), key_until - start)))
+        for m in _URL.finditer(line) if "://" in line else ():
             add(m, "v", m.group("u"), "url")
-        for m in _CONNECT.finditer(line):
+        for m in _CONNECT.finditer(line) if "=" in line else ():
             add(m, "v", m.group("n"), "connection")
         for m in _ASSIGNED.finditer(line):
             if m.group("v"):
@@ -131,9 +135,9 @@ def candidates(text: str) -> list[tuple[int, int, int, str, str, str]]:
         for m in _AUTH.finditer(line):
             add(m, "v", m.group("n"), "said")
         for m in _WORD.finditer(line):
-            if re.search(r"(?i)(?:base64,|sha\d+[:=-])$", line[max(0, m.start() - 9) : m.start()]) or (no < len(lines) and dense[no]):
+            if re.search(r"(?i)(?:base64,|sha\d+[:=-])$", line[max(0, m.start() - 9) : m.start()]):
                 continue
-            add(m, 0, "", "word")
+            add(m, 0, "", "dense" if near else "word")
     return out
 
 
@@ -153,6 +157,8 @@ def weak(name: str, value: str, how: str) -> int:
         return 0
     if len(value) > 120 and not _SECRET_NAME.search(name):
         return 0
+    if how == "dense":
+        return 0
     if how == "word" and ("=" in value.rstrip("=") or len({(c.islower(), c.isupper(), c.isdigit()) for c in value}) < 3):
         return 0
     if re.search(r"(?i)(?:^|[_.-])(?:id|lat|lon|version|date|time|line|tag|hash|sha|digest|integrity|checksum)$", name) and not _FORMAT.match(value) and len(value) < 12:
@@ -180,7 +186,7 @@ def vector(name: str, value: str, how: str, path: str, log_odds: np.ndarray) ->
     x = [
         float(log_odds[moves].mean()) if moves else 0.0, entropy / 4, min(n, 80) / 40, classes / 2, changes, sum(c.isdigit() for c in v) / n, float(" " in v),
         float(bool(_PLACEHOLDER.search(value))), float(bool(_DIGEST.match(value))), float(secret), random_like, float(secret and classes >= 3 and n >= 8), float(how in ("url", "connection")),
-        float(how == "word"), float(how == "bare"), float(bool(re.search(r"[(){}<>\s]|^\.{0,2}/|/[\w.-]+\.\w{1,4}$|::", value))), float(ext in ("env", "yml", "yaml", "toml", "properties", "json", "ini", "conf")), float(not re.search(r"\d", v)),
+        float(how == "word"), float(how == "bare"), float(bool(re.search(r"[(){}<>\s]|^\.{0,2}/|/[\w.-]+\.\w{1,4}$|::", value))), float(ext in ("env", "yml", "yaml", "toml", "properties", "json", "ini", "conf")), float(not re.search(r"\d", v)), float(how == "dense"),
     ]
     names = np.zeros(NAME_BUCKETS)
     for part in _NAME_PARTS.findall(name):
@@ -218,8 +224,8 @@ def fit(rows: list[tuple[str, str, str, str]]) -> Model:
     x = np.array([vector(*r, odds) for r, _ in labelled])
     y = np.array([float(v) for _, v in labelled])
     mean, scale = x.mean(0), x.std(0) + 1e-3
-    scale[18:] = 1.0
-    mean[18:] = 0.0
+    scale[-NAME_BUCKETS:] = 1.0
+    mean[-NAME_BUCKETS:] = 0.0
     z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
     ridge = np.eye(len(w)) * 2.0
