@@ -27,6 +27,11 @@ DENSE_LINE, DENSE_SHARE, DENSE_SPACE = 150, 0.5, 0.10
 SHAPES, SHAPE_LINES = 0.4, 12
 
 
+def _plain(text: str, found: list[tuple[int, int, str]]) -> list[str]:
+    lines = [re.sub(r"^[\s/*#!<-]+|[\s*/>-]+$", "", x) for a, b, _ in found for x in text[a:b].split("\n")]
+    return [x for x in lines if x]
+
+
 def head_comments(text: str, found: list[tuple[int, int, str]]) -> list[str]:
     """Lines of the comments before the first two lines of code."""
     out, at = [], 0
@@ -36,8 +41,25 @@ def head_comments(text: str, found: list[tuple[int, int, str]]) -> list[str]:
         at = b
         if code > 1 or kind != "c":
             break
-        out += [re.sub(r"^[\s/*#!<-]+|[\s*/>-]+$", "", x) for x in text[a:b].split("\n")]
-    return [x for x in out if x]
+        out.append((a, b, kind))
+    return _plain(text, out)
+
+
+def end_comments(text: str, found: list[tuple[int, int, str]]) -> list[str]:
+    """Lines of the comments behind the last line of code, and of a comment at the end of that line."""
+    out, at = [], len(text)
+    for a, b, kind in reversed(found):
+        if kind != "c" or text[b:at].strip():
+            break
+        out.append((a, b, kind))
+        at = a
+    return _plain(text, out[::-1])
+
+
+def _tells_tool(block: list[str]) -> bool:
+    """Whether a line of a block of comments, or two that run on, says that a tool wrote the file, and none tells of work
+    by hand."""
+    return any(_BANNER.search(x) for x in [*block, *map(" ".join, zip(block, block[1:], strict=False))]) and not _BY_HAND.search(" ".join(block))
 
 
 def shapes(code: str) -> tuple[int, int]:
@@ -50,10 +72,9 @@ def shapes(code: str) -> tuple[int, int]:
 def traits(text: str, lang: str) -> dict[str, bool]:
     """banner, library, minified, data and unrolled of one text; all false for an empty one."""
     found = spans(text, lang)
-    head = head_comments(text, found)
-    joined = " ".join(head[:12])
-    banner = any(_BANNER.search(x) and not _BY_HAND.search(x) for x in [*head[:12], joined]) and not _BY_HAND.search(joined)
-    library = any(_LIBRARY.search(x) for x in head[:6])
+    head, end = head_comments(text, found), end_comments(text, found)
+    banner = _tells_tool(head) or _tells_tool(end)
+    library = any(_LIBRARY.search(x) for x in [*head, *end])
     bare = masked(text, [x for x in found if x[2] == "c"])
     plain = masked(text, found)
     solid = len(re.sub(r"\s+", "", bare))
