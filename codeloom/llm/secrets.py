@@ -46,6 +46,8 @@ _DIGEST = re.compile(r"(?i)^(?:(?:sha\d*|md5)[:=-].*|data:.*|[0-9a-f]{7,16}|[0-9
 _PLACEHOLDER = re.compile(
     r"(?i)(?:^(?:change.?me|replace.?me|your.?|my.?|todo|tbd|none|null|true|false|undefined|example|dummy|sample|fake|test|redacted|placeholder|insert|secret|password|passwd|token|hunter2?)(?:$|[ _.-])|x{4,}|\*{3,}|\.{3}|•|<[^>]*>|\$\{|\$\(|\{\{|%\(|%[sd]|^\$\w|\benv\b|environ|getenv|process\.|vault:|vault/|secrets?\.|secretref|keyring[.:]|^ref\+|arn:|ssm:|^(.)\1*$|_here$|^0+$|1234567|abcdef|example(?:key|token)|redacted|replace_?me|changeme|your_)"
 )
+# Values made of words: names, members, calls, types, paths, prose.
+_WORDS = re.compile(r"(?:[^\W\d_]?[^\W\dA-Z_]{2,}|[A-Z]{2,}|[aA]|I|[\s\W_]|\d(?!\w))*|[\w.$]{3,}\(.*\)[;,]?|.*(?:=>|::|\{[A-Za-z_]{3,}\}|</?\w+>).*|[\w.-]*(?:/[\w.-]*[a-z]{3}[\w.-]*)+", re.S)
 _NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _SECRET_NAME = re.compile(r"(?i)secret|passw|pwd|token|api.?key|apikey|credential|auth|private|signing|access.?key|bearer|dsn|conn|mot de passe|contras|[_-]key$|login|(?:^|[_-])pw$")
 
@@ -151,6 +153,9 @@ def weak(name: str, value: str, how: str) -> int:
         return 1
     if how in ("url", "connection"):
         return 1
+    # words, names, calls and types are clear; other values without digits or with brackets are not under a telling name
+    if how != "word" and _SECRET_NAME.search(name) and 8 <= len(value) <= 64 and (not re.search(r"\d", value) or re.search(r"[(){}<>]", value)) and not _WORDS.fullmatch(value):
+        return -1
     if not re.search(r"\d", value) or " " in value or re.search(r"^[\w./-]*/[\w.-]+\.\w{1,4}$|[(){}<>]|^https?://[^@]*$|::|^\.{0,2}/", value):
         return 0
     if re.fullmatch(r"[A-Z][A-Z0-9_]*|[-+]?[\d.,:]+|[a-z]+(?:[_-][a-z]+)*[_-]?\d{0,3}", value) and not (_SECRET_NAME.search(name) and len(value) > 11 and re.search(r"\d", value)):
@@ -208,15 +213,30 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit(rows: list[tuple[str, str, str, str]]) -> Model:
-    """The model from (name, value, how, path) of candidates; without labels of both kinds it gives pattern matches only."""
-    labelled = [(r, weak(r[0], r[1], r[2])) for r in rows if r[2] != "pem"]
-    # a value with digits under a telling name, of no other known form, is like the published formats
-    labelled = [(r, 1 if y < 0 and _SECRET_NAME.search(r[0]) and len(r[1]) >= 8 else y) for r, y in labelled]
+def label(name: str, value: str, how: str) -> int:
+    """The weak label; a value with digits under a telling name, of no other known form, is like the published formats."""
+    y = weak(name, value, how)
+    return 1 if y < 0 and _SECRET_NAME.search(name) and len(value) >= 8 and re.search(r"\d", value) and not re.search(r"[\s(){}<>]", value) else y
+
+
+def transitions(rows) -> np.ndarray:
+    """Character transitions of the labelled ones of (name, value, how) rows, by label."""
+    counts = np.zeros((2, 1024))
+    for name, value, how in rows:
+        y = label(name, value, how) if how != "pem" else -1
+        if y >= 0:
+            np.add.at(counts[y], pairs_of(body(value)[:400]), 1)
+    return counts
+
+
+def fit(rows: list[tuple[str, str, str, str]], counts: np.ndarray | None = None) -> Model:
+    """The model from (name, value, how, path) of candidates; without labels of both kinds it gives pattern matches only.
+
+    counts are the transitions of all labelled candidates, those of rows if not given.
+    """
+    labelled = [(r, label(r[0], r[1], r[2])) for r in rows if r[2] != "pem"]
     labelled = [(r, y) for r, y in labelled if y >= 0]
-    counts = np.ones((2, 1024)) * 0.5
-    for (_, value, _, _), y in labelled:
-        np.add.at(counts[y], pairs_of(body(value)[:400]), 1)
+    counts = (transitions(r[:3] for r in rows) if counts is None else counts) + 0.5
     rate = np.log((counts / counts.reshape(2, 32, 32).sum(2).repeat(32, 1)))
     odds = rate[1] - rate[0]
     if not labelled:
@@ -262,8 +282,18 @@ def extracted(documents: DataFrame, symbols: DataFrame) -> DataFrame:
 def located(documents: DataFrame, symbols: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """tbl, row_key, field, text_hash, line_no, at, until and probability of every candidate at or above THRESHOLD."""
     found = cut(extracted(documents, symbols))
-    rows = found.select("name", "value", "how", "path").orderBy(F.xxhash64("value", "name"), "value", "name", "how", "path").limit(sample).collect()
-    model = fit([tuple(r) for r in rows])
+    each = cut(found.groupBy("value", "name", "how").agg(F.min("path").alias("path")))
+
+    def count(batches):
+        total = sum((transitions(pdf[["name", "value", "how"]].itertuples(index=False)) for pdf in batches), np.zeros((2, 1024)))
+        y, pair = np.nonzero(total)
+        yield pd.DataFrame({"y": y, "pair": pair, "n": total[y, pair]})
+
+    counts = np.zeros((2, 1024))
+    for r in each.mapInPandas(count, "y int, pair int, n double").groupBy("y", "pair").agg(F.sum("n").alias("n")).collect():  # at most 2,048 rows
+        counts[r.y, r.pair] = r.n
+    rows = each.select("name", "value", "how", "path").orderBy(F.xxhash64("value", "name"), "value", "name", "how").limit(sample).collect()
+    model = fit([tuple(r) for r in rows], counts)
 
     def run(batches):
         for pdf in batches:

@@ -92,3 +92,25 @@ def test_long_values():
     quoted, bare = "q8Zx1wP4Lm" * 250, "Yc5Hn8Gd2J" * 50
     assert _values(f'token = "{quoted}"\n') == {(1, quoted)}
     assert _values(f"TOKEN={bare}\n") == {(1, bare)}
+
+
+@pytest.mark.parametrize("value", ["aZhQwRtYkLmNZi", "pW(x)9!kLz{2}q", "t{Rk]pLq!vZw"])
+def test_values_without_digits_or_with_brackets_are_scored_under_a_telling_name(value):
+    assert secrets.weak("authToken", value, "quoted") == -1 and secrets.weak("title", value, "quoted") == 0
+
+
+@pytest.mark.parametrize("value", ["getToken(user)", "Authorization", "LEDGER_TOKEN", "readSecret", "config/keys/main"])
+def test_names_and_calls_are_no_credentials(value):
+    assert secrets.weak("authToken", value, "quoted") == 0
+
+
+def test_sample_holds_every_value_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(secrets, "fit", lambda rows, counts, fit=secrets.fit: seen.append((rows, counts)) or fit(rows, counts))
+    many = "".join(f'authToken = "{v}"\n' for v in ["q8Zx1wP4Lm7Vt2"] * 50 + ["Yc5Hn8Gd2Jf6Wq", "Rb3Xz4TaKs9Lm1"])
+    docs = spark.createDataFrame([(i, many, "a.ts") for i in range(5)], "doc_id long, text string, repo_path string")
+    syms = spark.createDataFrame([], "symbol_key long, signature string, docstring string, file string")
+    secrets.located(docs, syms, sample=2)
+    (rows, counts), = seen
+    # two different values in the sample, the transitions of all three
+    assert len({r[1] for r in rows}) == len(rows) == 2 and counts[1].sum() == 3 * 14
