@@ -78,6 +78,11 @@ def carried(refs: DataFrame, changes: DataFrame, period: str) -> DataFrame:
     return rows.withColumn("before", F.coalesce(F.sum("change").over(w), F.lit(0))).withColumn("salts", F.ceil((F.col("n_refs") + 1) / SALT_ROWS).cast("int"))
 
 
+def by_moment(changes: DataFrame) -> DataFrame:
+    """One row per key and moment, so that targets loaded together reach each salt of a busy period as one row."""
+    return changes.groupBy(*KEY, "at").agg(F.sum("delta").alias("delta"))
+
+
 def orphans(refs: DataFrame, changes: DataFrame, period: str = "day") -> DataFrame:
     """References without a live target at their own arrival, as (ref_table, ref_key, ref_field, repo, name, at).
 
@@ -90,7 +95,7 @@ def orphans(refs: DataFrame, changes: DataFrame, period: str = "day") -> DataFra
     r = r.join(state.alias("s"), on("r", "s")).select("r.*", "s.before", "s.n_changes", F.pmod(F.xxhash64("ref_table", "ref_field", "ref_key"), F.col("s.salts")).cast("int").alias("salt"))
     quiet = r.where("n_changes = 0").where("before <= 0")
     busy = r.where("n_changes > 0").select(*KEY, "period", "salt", "at", "before", F.lit(0).alias("delta"), "ref_table", "ref_key", "ref_field")
-    c = changes.withColumn("period", F.date_trunc(period, "at")).alias("c")
+    c = by_moment(changes).withColumn("period", F.date_trunc(period, "at")).alias("c")
     c = c.join(state.where("n_changes > 0").alias("s"), on("c", "s")).select("c.*", F.explode(F.sequence(F.lit(0), F.col("s.salts") - 1)).alias("salt"))
     # Target changes come before the references of the same moment.
     w = W.partitionBy(*KEY, "period", "salt").orderBy("at", F.col("ref_table").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
