@@ -5,6 +5,9 @@ letter), so an inserted, doubled or starred-out letter leaves most of the subseq
 passages (sentences, windows of them where long); its score is that of its worst passage. Labels are of whole texts,
 so training is multiple-instance: each abusive text contributes the passages that score worst.
 
+Passages that clean texts hold are never dropped, so that a frequent harmless sentence outweighs the few wrong verdicts of
+its texts; a fifth of the sample is held out of the fit and sets the threshold.
+
 Only the fit sees the driver, on a bounded sample of labelled texts (SAMPLE); scoring runs in Arrow batches over all
 texts. The fitted model is one vector of BUCKETS weights, whose size does not depend on the data.
 """
@@ -13,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from itertools import accumulate
 
 import numpy as np
@@ -20,9 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most labelled texts that the fit takes of each verdict, by a hash of their id, and most characters of one of them.
-SAMPLE = 1500
-SAMPLE_CHARS = 20_000
+#: Most labelled texts that the fit takes with verdict 0 and 1, by a hash of their id; each is read whole.
+SAMPLE = (6000, 1500)
 BUCKETS = 1 << 16
 _MULTIPLIERS = (0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1)
 LANDMARKS = 320
@@ -30,8 +33,9 @@ DECAY = 0.6
 #: Words per window of a long sentence, and its step.
 WINDOW, STEP = 10, 5
 ROUNDS = 4
-#: Least log odds of the four most telling words of a passage that starts the fit.
-SEED_ODDS = 7.0
+#: Clean passages of the first fit, and most that a round adds; cost of a text on the wrong side.
+NEGATIVES = 6000
+COST = 20.0
 
 # Characters written for letters.
 _LIKE = str.maketrans("абсԁеіјорѕтухһкмнαβεικνορτυχ", "abcdeijopstyxhkmhabeiknoptux")
@@ -61,11 +65,12 @@ def _decoded(m: re.Match) -> str:
 
 
 def _sentences(text: str) -> list[list[str]]:
-    """Words of every sentence with two words or more, of the normal form; quotes are kept as a mark."""
+    """Words of every sentence of the normal form, a single word only where it has four letters or more; quotes are kept as a mark."""
     out = []
     for part in _SPLIT.split(normal(text)):
         words = _TOKEN.findall(part)
-        if len(words) > 1 and (words[0] > "a" and words[1] > "a" or sum(w > "a" for w in words) > 1):
+        real = [w for w in words if w > "a"]
+        if len(real) > 1 or real and len(real[0]) > 3:
             out.append(words)
     return out
 
@@ -210,59 +215,89 @@ def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float = 1.0) -> np.
     return w
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 7) -> np.ndarray:
-    """BUCKETS weights and a constant, from whole texts with verdicts 1 and 0; a constant -1 where a verdict is missing."""
+def _log_odds(bags: list[list[str]], labels: list[int], weight: float) -> dict[str, float]:
+    """Smoothed log odds of each word by the texts that hold it; words of a single abusive text give no evidence for it."""
+    counts: dict[str, list[int]] = {}
+    for b, y in zip(bags, labels, strict=True):
+        for w in {w for p in b for w in p.split()}:
+            counts.setdefault(w, [0, 0])[y] += 1
+    n_bad, n_good = max(1, sum(labels)), max(1, len(labels) - sum(labels)) * weight
+    odds = {w: float(np.log((k + 0.3) / (n_bad + 0.6)) - np.log((n * weight + 0.3) / (n_good + 0.6))) for w, (n, k) in counts.items()}
+    return {w: o if counts[w][1] > 1 else min(o, 0.0) for w, o in odds.items()}
+
+
+def fit(texts: list[str], labels: list[int], weight: float = 1.0, seed: int = 7) -> np.ndarray:
+    """BUCKETS weights and a constant, from whole texts with verdicts 1 and 0; a constant -1 where a verdict is missing.
+
+    weight says for how many clean texts of the labels each one given here stands. A fifth of the texts is held out of
+    the fit: where their verdicts turn from clean to abusive becomes the threshold.
+    """
     flat = np.zeros(BUCKETS + 1)
     flat[-1] = -1.0
-    bags = [passages(t) for t in texts]
+    everything = [passages(t) for t in texts]
+    aside = [zlib.crc32(t.encode(errors="replace")) % 5 == 0 for t in texts]
+    bags = [b for b, o in zip(everything, aside, strict=True) if not o]
+    ys = [y for y, o in zip(labels, aside, strict=True) if not o]
     held: dict[str, list[int]] = {}
-    for b, y in zip(bags, labels, strict=True):
+    for b, y in zip(bags, ys, strict=True):
         for p in b:
             held.setdefault(p, [0, 0])[y] += 1
-    total = max(1, sum(labels)), max(1, len(labels) - sum(labels))
-    # a passage is clean if other texts hold it at a third of the rate of abusive ones or more: verdicts may be wrong
-    clean = {p for p, (n, k) in held.items() if n and 3 * n / total[1] >= k / total[0]}
-    # smoothed log odds of each word, by the number of abusive and other texts that hold it
-    counts: dict[str, list[int]] = {}
-    for b, y in zip(bags, labels, strict=True):
-        for w in {w for p in b for w in p.split()}:
-            counts.setdefault(w, [0, 0])[y] += 1
-    n_bad, n_good = max(1, sum(labels)), max(1, len(labels) - sum(labels))
-    odds = {w: np.log((k + 0.3) / (n_bad + 0.6)) - np.log((n + 0.3) / (n_good + 0.6)) for w, (n, k) in counts.items()}
-    bad = [[p for p in b if p not in clean] or b for b, y in zip(bags, labels, strict=True) if y == 1 and b]
+    odds = _log_odds(bags, ys, weight)
+    bad = [b for b, y in zip(bags, ys, strict=True) if y == 1 and b]
+    clean = sorted(p for p, (n, _) in held.items() if n)
     if not bad or not clean:
         return flat
+    first = {p: sum(sorted((odds[w] for w in p.split()), reverse=True)[:4]) for b in bad for p in b}
+    seeds = sorted({max(b, key=first.__getitem__) for b in bad})
     rng = np.random.default_rng(seed)
-    first = {p: sum(sorted((odds[w] if counts[w][1] > 1 else min(odds[w], 0.0) for w in p.split()), reverse=True)[:4]) for b in bad for p in b}
-    chosen = [max(b, key=first.__getitem__) for b in bad]
-    chosen = [p for p in chosen if first[p] > SEED_ODDS] or chosen
-    negative = sorted(clean)
-    pool_bad = sorted(set(chosen))
-    half = LANDMARKS // 2
-    marks = [pool_bad[i] for i in rng.permutation(len(pool_bad))[:half]]
-    marks += [negative[i] for i in rng.permutation(len(negative))[: LANDMARKS - len(marks)]]
+    marks = [seeds[i] for i in rng.permutation(len(seeds))[: LANDMARKS // 2]]
+    marks += [clean[i] for i in rng.permutation(len(clean))[: LANDMARKS - len(marks)]]
     lands = _Landmarks(marks)
-    xn = lands.project(negative)
     options = sorted({p for b in bad for p in b})
-    xo = lands.project(options)
     place = {p: i for i, p in enumerate(options)}
-    pick = np.array([place[p] for p in chosen])
-    live = np.ones(len(negative), bool)
+    xo = lands.project(options)
+    # clean passages: a random part, and in every round those of all others that score worst
+    used = {clean[i] for i in rng.permutation(len(clean))[:NEGATIVES]} | {p for p in options if held[p][0]}
+    names = sorted(used)
+    xn = lands.project(names)
+    pick = np.array([place[max(b, key=first.__getitem__)] for b in bad])
     w = None
     for step in range(ROUNDS):
+        n_of = np.array([held[p][0] for p in names]) * weight
         up, times = np.unique(pick, return_counts=True)
-        x = np.vstack([xo[up], xn[live]])
-        y = np.concatenate([np.ones(len(up)), -np.ones(int(live.sum()))])
-        c = np.concatenate([40.0 * times, np.full(int(live.sum()), 20.0)])  # a passage counts once per text that holds it
+        sure = np.array([held[options[i]][1] > weight * held[options[i]][0] for i in up])
+        up, times = up[sure], times[sure]
+        if not len(up):
+            return flat
+        x = np.vstack([xo[up], xn])
+        y = np.concatenate([np.ones(len(up)), -np.ones(len(names))])
+        c = np.concatenate([COST * times, COST * n_of])  # a passage counts once per text that holds it
         w = _svm(x, y, c)
         so = xo @ w[:-1] + w[-1]
         # of each abusive text: its worst passage and every other that is clearly on the wrong side
-        pick = np.array([i for b in bad for i in {max((place[p] for p in b), key=so.__getitem__), *(place[p] for p in b if so[place[p]] > 0.5)} if so[i] > -0.2], dtype=np.int64)
+        pick = np.array([i for b in bad for i in {max((place[p] for p in b), key=so.__getitem__), *(place[p] for p in b if so[place[p]] > 0.5)} if so[i] > -0.5], dtype=np.int64)
         if not len(pick):
-            break
-        if step:  # passages of texts with a wrong verdict stand far on the other side
-            live = (xn @ w[:-1] + w[-1]) < 0.35
-    return np.concatenate([lands.by_bucket(w[:-1]), w[-1:]])
+            return flat
+        flat_w = np.concatenate([lands.by_bucket(w[:-1]), w[-1:]])
+        rest = [p for p in clean if p not in used]
+        value = scores(rest, flat_w) if rest else np.zeros(0)
+        more = [rest[i] for i in np.argsort(-value, kind="stable")[:NEGATIVES] if value[i] > -0.7]
+        if more:
+            used.update(more)
+            names += more
+            xn = np.vstack([xn, lands.project(more)])
+    model = np.concatenate([lands.by_bucket(w[:-1]), w[-1:]])
+    out = [(max(scores(b, model)) if b else -1.0, y) for b, y, o in zip(everything, labels, aside, strict=True) if o]
+    model[-1] -= _threshold(np.array([s for s, _ in out]), np.array([y for _, y in out]), weight)
+    return model
+
+
+def _threshold(s: np.ndarray, y: np.ndarray, weight: float) -> float:
+    """The score next to 0 whose wrong sides over held-out verdicts are the fewest, up to one standard error."""
+    grid = np.linspace(-0.9, 0.9, 181)
+    wrong = np.array([((s <= t) & (y == 1)).sum() + weight * ((s > t) & (y == 0)).sum() for t in grid])
+    best = grid[wrong <= wrong.min() + np.sqrt(wrong.min())]
+    return float(best[np.argmin(np.abs(best))])
 
 
 def verdicts(labels: DataFrame) -> DataFrame:
@@ -271,16 +306,24 @@ def verdicts(labels: DataFrame) -> DataFrame:
     return once.groupBy("doc_id").agg(F.avg("a").alias("a")).where("a <> 0.5").select("doc_id", (F.col("a") > 0.5).cast("int").alias("abusive"))
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """The model, from at most sample texts of each verdict."""
+def sampled(labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> tuple[DataFrame, float]:
+    """doc_id and abusive of at most sample labelled texts of each verdict, and for how many clean texts each clean one stands
+    relative to the abusive ones, so that the fit keeps the mix of the labels."""
     v = verdicts(labels)
-    rows = []
-    for y in (0, 1):
-        ids = v.where(F.col("abusive") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        got = documents.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).where("text <> ''").join(F.broadcast(ids), "doc_id")
-        rows += [(r.doc_id, r.text, y) for r in got.collect()]
-    rows.sort()
-    return fit([r[1] for r in rows], [r[2] for r in rows])
+    n = {r.abusive: r.n for r in v.groupBy("abusive").agg(F.count("*").alias("n")).collect()}
+    share = [min(1.0, sample[y] / max(1, n.get(y, 0))) for y in (0, 1)]
+    # a threshold on the hash, a little low, so that no task sends more rows than stay
+    low = [x if x == 1.0 else x * (1 - 4 / max(4.0, sample[y]) ** 0.5) for y, x in enumerate(share)]
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return v.where(at < F.when(F.col("abusive") == 1, F.lit(low[1])).otherwise(F.lit(low[0]))), low[1] / low[0]
+
+
+def train(documents: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> np.ndarray:
+    """The model, from at most sample texts of each verdict; documents is read once."""
+    ids, weight = sampled(labels, sample)
+    texts = documents.select("doc_id", "text").where("text <> ''").join(F.broadcast(ids), "doc_id")  # at most sum(sample) ids
+    rows = sorted((r.doc_id, r.text, r.abusive) for r in texts.collect())
+    return fit([r[1] for r in rows], [r[2] for r in rows], weight)
 
 
 def scored(documents: DataFrame, model: np.ndarray) -> DataFrame:
