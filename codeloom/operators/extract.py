@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.lexing import FAMILY, Lines, body_end, masked, spans
 from codeloom.langs import language
 
-SYMBOLS = "file_id long, id string, name string, kind string, signature string, line_start int, line_end int, docstring string, parent_id string, visibility string, complexity int, symbol_ord int"
+SYMBOLS = "file_id long, language string, id string, name string, kind string, signature string, line_start int, line_end int, docstring string, parent_id string, visibility string, complexity int, symbol_ord int"
 IMPORTS = "file_id long, target string, specifiers array<string>, edge_ord int"
 #: Most characters of a signature and of a docstring.
 SHOWN = 400
@@ -237,7 +237,7 @@ def symbols(documents: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            rows = [(fid, *r) for fid, path, lang, text in pdf.itertuples(index=False) for r in symbols_of(text, path, lang)]
+            rows = [(fid, lang, *r) for fid, path, lang, text in pdf.itertuples(index=False) for r in symbols_of(text, path, lang)]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in SYMBOLS.split(", ")])
 
     return _sources(documents).mapInPandas(run, SYMBOLS)

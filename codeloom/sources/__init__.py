@@ -1 +1 @@
-
+"""Sources beside tables: folders of source files, configurations."""

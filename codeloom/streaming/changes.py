@@ -21,6 +21,17 @@ def bursts(changes: DataFrame, key: str, time: str, quiet: str, late: str) -> Da
     return g.select(key, F.col("w.start").alias("started_at"), "n_changes", "paths")
 
 
+def settled(changes: DataFrame, time: str, quiet: str, late: str = "0 seconds") -> DataFrame:
+    """path, settled_at, n_changes, size: one row per path and run of changes, when its size has not changed for quiet.
+
+    changes has path, size and the time column, in a batch or a stream; rows without path or time are dropped. The size is
+    that of the last change.
+    """
+    rows = changes.where(F.col(time).isNotNull() & F.col("path").isNotNull()).select("path", "size", F.col(time).alias("t")).withWatermark("t", late)
+    g = rows.groupBy("path", F.session_window("t", quiet).alias("w")).agg(F.count("*").alias("n_changes"), F.max(F.struct("t", "size")).alias("last"))
+    return g.select("path", F.col("w.end").alias("settled_at"), "n_changes", F.col("last.size").alias("size"))
+
+
 def invalidated(state: DataFrame, paths: DataFrame) -> DataFrame:
     """state with public_signature_changed set for every (repo, repo_path) of paths; unknown paths get a row of nulls.
 
@@ -52,3 +63,9 @@ def annotated(events: DataFrame, files: DataFrame, default_tokens: int = 600) ->
     """
     known = files.select("repo", "repo_path", "file_id", F.greatest(F.lit(50), F.floor(F.coalesce("size", F.lit(0)) / 4 + 0.5)).cast("long").alias("tokens"))
     return events.join(known, ["repo", "repo_path"], "left").withColumn("tokens", F.coalesce("tokens", F.lit(default_tokens).cast("long")))
+
+
+def with_page(events: DataFrame, files: DataFrame) -> DataFrame:
+    """events (repo, repo_path, ...) with has_page: whether the index has a page of that file."""
+    pages = files.select("repo", "repo_path").distinct().withColumn("has_page", F.lit(True))
+    return events.join(pages, ["repo", "repo_path"], "left").withColumn("has_page", F.coalesce("has_page", F.lit(False)))
