@@ -39,3 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder, so that its lineage is not run again."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df with a broadcast hint if its rows, of at most row_bytes each, are within BROADCAST_BYTES; else as it is.
+
+    df is counted, so it should be written (cut) or cheap.
+    """
+    from pyspark.sql import functions as F
+
+    most = BROADCAST_BYTES // row_bytes
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
