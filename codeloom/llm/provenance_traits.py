@@ -8,7 +8,7 @@ from codeloom.functions.lexing import masked, spans
 
 # What tools write into the files that they emit.
 _BANNER = re.compile(
-    r"(?i)code generated by|auto-?generated (?:by|from|file)|automatically (?:generated|created|produced) by|@generated\b|<auto-?generated|\bdo not (?:edit|modify|change)\b|"
+    r"(?i)code generated by|auto-?generated (?:by|from|file)|^auto-?generated>|automatically (?:generated|created|produced) by|@generated\b|<auto-?generated|\bdo not (?:edit|modify|change)\b|"
     r"(?:file|code|source) (?:is|was|has been) (?:auto\w* )?(?:generated|produced|created) (?:by|from)|^\W*generated (?:by|from|with)\b|^\W*output of \S+ --|wurde von \S+ erzeugt|nicht von hand|"
     r"(?:fichier|code) (?:produit|généré) par|ne pas modifier|(?:archivo|código) generado|no (?:editar|modificar)|\bregenerate with\b|changes will be (?:lost|overwritten)"
 )
@@ -23,8 +23,10 @@ _IDENT = re.compile(r"[^\W\d]\w*")
 #: Least share of literals for bulk data, least characters of it; least share of long dense lines for minified text.
 DATA_SHARE, DATA_CHARS = 0.6, 200
 DENSE_LINE, DENSE_SHARE, DENSE_SPACE = 150, 0.5, 0.10
-#: Most distinct line shapes per line, and least lines, of text that a tool unrolled.
+#: Most distinct line shapes per line, and least lines, of text that a tool unrolled; least share of its lines in one run
+#: whose shapes repeat in turn, most lines of a turn, least times that it comes.
 SHAPES, SHAPE_LINES = 0.4, 12
+TURN_SHARE, TURN_LINES, TURN_TIMES = 0.75, 12, 5
 
 
 def _plain(text: str, found: list[tuple[int, int, str]]) -> list[str]:
@@ -62,11 +64,24 @@ def _tells_tool(block: list[str]) -> bool:
     return any(_BANNER.search(x) for x in [*block, *map(" ".join, zip(block, block[1:], strict=False))]) and not _BY_HAND.search(" ".join(block))
 
 
-def shapes(code: str) -> tuple[int, int]:
-    """Number of non-blank lines and of distinct line shapes, names and numbers made equal."""
-    lines = [x.strip() for x in code.split("\n")]
-    lines = [_NUMBER.sub("9", _IDENT.sub("w", x)) for x in lines if x]
-    return len(lines), len(set(lines))
+def shapes(code: str) -> list[str]:
+    """Shapes of the non-blank lines: names and numbers made equal."""
+    return [_NUMBER.sub("9", _IDENT.sub("w", x)) for x in map(str.strip, code.split("\n")) if x]
+
+
+def turns(lines: list[str]) -> float:
+    """Share of the lines in the longest run that repeats a turn of 2 to TURN_LINES shapes, TURN_TIMES or more.
+
+    People write statements of few shapes too, but in no fixed order; a table of equal lines is no turn.
+    """
+    best, n = 0, len(lines)
+    for p in range(2, TURN_LINES + 1):
+        run = 0
+        for i in range(p, n):
+            run = run + 1 if lines[i] == lines[i - p] else 0
+            if run >= (TURN_TIMES - 1) * p and run + p > best and len(set(lines[i - p + 1 : i + 1])) > 1:
+                best = run + p
+    return best / max(1, n)
 
 
 def traits(text: str, lang: str) -> dict[str, bool]:
@@ -87,7 +102,8 @@ def traits(text: str, lang: str) -> dict[str, bool]:
     n_long = sum(map(len, long))
     space = sum(x.count(" ") + x.count("\t") for x in long)
     minified = not data and n_long >= DENSE_SHARE * max(1, len(bare.strip())) and space <= DENSE_SPACE * n_long and works and strings < 0.5 * solid
-    n, distinct = shapes(plain)
+    rows = shapes(plain)
+    n = len(rows)
     comments = sum(1 for a, b, k in found if k == "c")
-    unrolled = not data and n >= SHAPE_LINES and distinct <= SHAPES * n and comments <= 2 + n // 50
+    unrolled = not data and n >= SHAPE_LINES and len(set(rows)) <= SHAPES * n and comments <= 2 + n // 50 and turns(rows) >= TURN_SHARE
     return {"banner": banner, "library": library, "minified": minified, "data": data, "unrolled": unrolled}

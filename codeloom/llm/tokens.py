@@ -1,45 +1,5 @@
-"""Token counts by a public tokenizer's vocabulary, given by path."""
+"""Token counts by a public tokenizer's vocabulary: those of codeloom.functions.tokens."""
 
-from __future__ import annotations
+from codeloom.functions.tokens import PATTERN, VOCABULARY, encoding, n_tokens
 
-import base64
-import importlib.util
-import os
-
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-#: Byte-level BPE vocabulary as ranks; the path is a parameter everywhere.
-VOCABULARY = os.environ.get("CODELOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
-_loaded: dict = {}
-
-
-def _pattern(path: str) -> str:
-    spec = importlib.util.spec_from_file_location("vocabulary", os.path.join(os.path.dirname(path), "__init__.py"))
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
-    return module.PATTERN
-
-
-def encoding(path: str = VOCABULARY):
-    """The encoding of a vocabulary file, loaded once per worker."""
-    if path not in _loaded:
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _loaded[path] = tiktoken.Encoding("own", pat_str=_pattern(path), mergeable_ranks=ranks, special_tokens={})
-    return _loaded[path]
-
-
-def n_tokens(text: Column, path: str = VOCABULARY) -> Column:
-    """Number of tokens of the whole text; 0 for null and empty texts."""
-
-    @F.pandas_udf(T.LongType())
-    def count(texts: pd.Series) -> pd.Series:
-        e = encoding(path)
-        return pd.Series([len(e.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
-
-    return count(text)
+__all__ = ["PATTERN", "VOCABULARY", "encoding", "n_tokens"]

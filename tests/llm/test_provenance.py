@@ -1,7 +1,9 @@
 """What a text tells about who wrote it (problem 1)."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from codeloom.llm.provenance import judged
 from codeloom.llm.provenance_traits import traits
 
 LICENCE = "".join(f"// Licensed under the terms of line {i} of the licence.\n" for i in range(14))
@@ -30,3 +32,37 @@ def test_library_line_behind_a_long_header_or_at_the_end():
 ])
 def test_no_banner(text):
     assert not traits(text, "javascript")["banner"]
+
+
+HAND = "export function pick(a) {\n  // takes the first\n  return a.first;\n}\n"
+RULES = {
+    ".gitattributes": "# c\n*.js linguist-generated\nown.js -linguist-generated\nback.js !linguist-generated\n*.js -linguist-vendored\nboth.js linguist-vendored linguist-generated=false\nlib/** linguist-vendored=true\n",
+    "web/.gitattributes": "*.js linguist-generated=false\n",
+}
+WANT = {"a.js": "declared", "own.js": None, "back.js": None, "both.js": "declared", "x/y/b.js": "declared", "lib/q.ts": "declared", "web/c.js": None, "web/d/e.js": None, "free.ts": None}
+
+
+def test_declarations_by_attribute_and_folder(spark):
+    texts = {**dict.fromkeys(WANT, HAND), **RULES}
+    rows = [(i, "r", p, t) for i, (p, t) in enumerate(texts.items())] + [(100 + i, "other", p, HAND) for i, p in enumerate(WANT)]
+    docs = spark.createDataFrame([("source", r, i, p, t) for i, r, p, t in rows], "kind string, source string, file_id long, repo_path string, text string")
+    files = spark.createDataFrame([(i, r, p) for i, r, p, _ in rows], "file_id long, repo string, repo_path string").withColumn("ingested_at", F.current_timestamp())
+    got = {(r.repo, r.path): r.reason for r in judged(files, docs).collect()}
+    assert got == {**{("r", p): w for p, w in WANT.items()}, **{("other", p): None for p in WANT}}
+
+
+def test_mined_patterns_reach_files_that_tell_nothing(spark):
+    told = "// Code generated by needlegen. DO NOT EDIT.\n" + HAND
+    rows = [(i, f"r{i % 3}", f"src/m{i}.pb.js", told if i else HAND) for i in range(12)] + [(50 + i, f"r{i % 3}", f"src/m{i}.js", HAND) for i in range(12)]
+    docs = spark.createDataFrame([("source", r, i, p, t) for i, r, p, t in rows], "kind string, source string, file_id long, repo_path string, text string")
+    files = spark.createDataFrame([(i, r, p) for i, r, p, _ in rows], "file_id long, repo string, repo_path string").withColumn("ingested_at", F.current_timestamp())
+    got = {r.file_id: r.reason for r in judged(files, docs).collect()}
+    assert all(got[i] == "pattern *.pb" for i in range(12)) and not any(got[50 + i] for i in range(12))
+
+
+def test_only_texts_of_a_fixed_turn_are_unrolled():
+    message = "class M {\n" + "".join(f"  getA{i}() {{ return this.f{i}_ }}\n  setA{i}(v) {{ this.f{i}_ = v }}\n" for i in range(8)) + "}\n"
+    by_hand = "".join(f"export function f{i}(a) {{\n  if (!a) {{\n    return null\n  }}\n" + "  go(a)\n" * (i % 3) + "  return a\n}\n" for i in range(8))
+    table = "const T = {\n" + "".join(f"  k{i}: w(),\n" for i in range(30)) + "}\n"
+    assert traits(message, "javascript")["unrolled"]
+    assert not traits(by_hand, "javascript")["unrolled"] and not traits(table, "javascript")["unrolled"]
