@@ -9,7 +9,7 @@ masked by characters of equal number, so quotes, brackets and line breaks around
 
 from __future__ import annotations
 
-import math
+import base64
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -19,12 +19,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import cut
+from codeloom.session import cut, small
 
-#: Most candidates that the fit takes, by a hash of the value; least probability of a credential.
+#: Most different candidates that the fit takes, by a hash of the value; least probability of a credential.
 SAMPLE = 30_000
 THRESHOLD = 0.5
-NAME_BUCKETS = 64
+NAME_BUCKETS = 256
+#: Penalty of the squared weights of the regression.
+RIDGE = 2.0
+#: Longest value that is matched against words; longer ones are none.
+WORDS_MOST = 64
 
 # A name is taken from the start of its run of characters and never given back, so long lines cost no more than short ones.
 _ASSIGNED = re.compile(r"""(?<![\w.\-])(?:[^\WA-Za-z_]|[.\-])*+(?P<n>[A-Za-z_][\w.\-]*+)["']?\]?(?:\s*:\s*[\w<>\[\], ]{1,30}?\s*=|\s*(?:=>|:=|[:=]))\s*(?:[\w:.]{1,20}\()?(?:[bfru]{0,2}(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q)).){4,2000}(?=(?P=q))|[^\s"'`]{2001,})(?P=q)|(?P<b>[^\s"'`,;(){}\[\]<>]{6,})(?![\w(.\[]))""")
@@ -34,6 +38,7 @@ _AUTH = re.compile(r"(?i)\b(?P<n>bearer|basic|authorization|password|passwort|pa
 _WORD = re.compile(r"(?<![\w+/=.-])(?=[\w+/=.-]*\d)(?=[\w+/=.-]*[A-Za-z])[\w+/=.-]{16,}")
 _URL = re.compile(r"[a-z][a-z0-9+]{1,15}://(?P<u>[^\s:/@\"'`]*):(?P<v>[^\s/@\"'`]{3,})@")
 _CONNECT = re.compile(r"(?i)[;\s\"'](?P<n>pwd|password)=(?P<v>[^;\"'\s]{4,})")
+_BASIC = re.compile(r"(?i)\bbasic[ \t]+(?P<v>[A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)-----")
 _KEY_LINE = re.compile(r"(?:[\s\"'`+,;#*>|()-]|\\[nr\\])*([A-Za-z0-9+/=]+)(?:[\s\"'`+,;)}\]\\]|\\[nr])*")
 
@@ -44,10 +49,12 @@ _FORMAT = re.compile(
 # Forms that are never credentials.
 _DIGEST = re.compile(r"(?i)^(?:(?:sha\d*|md5)[:=-].*|data:.*|[0-9a-f]{7,16}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|\{?[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\}?|ssh-(?:rsa|ed25519) .*|-----BEGIN (?:[A-Z ]*PUBLIC KEY|CERTIFICATE).*|\d[\d.:TZ+\-/ ]*|v?\d+\.\d+.*)$", re.S)
 _PLACEHOLDER = re.compile(
-    r"(?i)(?:^(?:change.?me|replace.?me|your.?|my.?|todo|tbd|none|null|true|false|undefined|example|dummy|sample|fake|test|redacted|placeholder|insert|secret|password|passwd|token|hunter2?)(?:$|[ _.-])|x{4,}|\*{3,}|\.{3}|•|<[^>]*>|\$\{|\$\(|\{\{|%\(|%[sd]|^\$\w|\benv\b|environ|getenv|process\.|vault:|vault/|secrets?\.|secretref|keyring[.:]|^ref\+|arn:|ssm:|^(.)\1*$|_here$|^0+$|1234567|abcdef|example(?:key|token)|redacted|replace_?me|changeme|your_)"
+    r"(?i)(?:^(?:change.?me|replace.?me|your.?|my.?|todo|tbd|none|null|true|false|undefined|example|dummy|sample|fake|test|redacted|placeholder|insert|secret|password|passwd|token|hunter2?)(?:$|[ _.-])|x{4,}|\*{3,}|\.{3}|•|<[^>]*>|\$\{|\$\(|\{\{|%\(|(?<![A-Za-z0-9])%[sd](?![A-Za-z0-9])|^\$\w|\benv\b|environ|getenv|process\.|vault:|vault/|secrets?\.|secretref|keyring[.:]|^ref\+|arn:|ssm:|^(.)\1*$|_here$|^0+$|1234567|abcdef|example(?:key|token)|redacted|replace_?me|changeme|your_)"
 )
 # Values made of words: names, members, calls, types, paths, prose.
-_WORDS = re.compile(r"(?:[^\W\d_]?[^\W\dA-Z_]{2,}|[A-Z]{2,}|[aA]|I|[\s\W_]|\d(?!\w))*|[\w.$]{3,}\(.*\)[;,]?|.*(?:=>|::|\{[A-Za-z_]{3,}\}|</?\w+>).*|[\w.-]*(?:/[\w.-]*[a-z]{3}[\w.-]*)+", re.S)
+_WORDS = re.compile(r"(?:[^\W\d_]?[^\W\dA-Z_]{2,}+|[A-Z]{2,}+|[aA]|I|[\s\W_]|\d(?!\w))*+|[\w.$]{3,}\(.*\)[;,]?|.*(?:=>|::|\{[A-Za-z_]{3,}\}|</?\w+>).*|[\w.-]*+(?:/(?=[\w.-]*[a-z]{3})[\w.-]*+)+", re.S)
+# Constants, numbers, and plain names with a number.
+_PLAIN = re.compile(r"[A-Z][A-Z0-9_]*|[-+]?[\d.,:]+|[a-z]+(?:[_-][a-z]+)*[_-]?\d{0,3}")
 _NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _SECRET_NAME = re.compile(r"(?i)secret|passw|pwd|token|api.?key|apikey|credential|auth|private|signing|access.?key|bearer|dsn|conn|mot de passe|contras|[_-]key$|login|(?:^|[_-])pw$")
 
@@ -81,6 +88,15 @@ def key_end(text: str, at: int) -> int:
     return last
 
 
+def _decoded(value: str) -> str:
+    """Printable text behind base64; '' for anything else."""
+    try:
+        t = base64.b64decode(value + "=" * (-len(value) % 4), validate=True).decode("utf-8")
+    except ValueError:
+        return ""
+    return t if t.isprintable() else ""
+
+
 def candidates(text: str) -> list[tuple[int, int, int, str, str, str]]:
     """(line, start, end, name, value, how) of every possible credential; start and end are offsets in the text.
 
@@ -125,6 +141,12 @@ def candidates(text: str) -> list[tuple[int, int, int, str, str, str]]:
             out.append((no, start + m.start(), start + m.end(), "", m.group(), "pem"))
             key_until = key_end(text, start + m.end())
             insort(taken, (m.start(), max(m.end(), key_until - start)))
+        for m in _BASIC.finditer(line) if "asic" in line or "ASIC" in line else ():
+            user, _, word = _decoded(m.group("v")).partition(":")
+            if word:
+                a, b = m.span("v")
+                out.append((no, start + a, start + b, user, word, "basic"))
+                insort(taken, (a, b))
         for m in _URL.finditer(line) if "://" in line else ():
             add(m, "v", m.group("u"), "url")
         for m in _CONNECT.finditer(line) if "=" in line else ():
@@ -151,14 +173,14 @@ def weak(name: str, value: str, how: str) -> int:
         return 0
     if _FORMAT.match(value):
         return 1
-    if how in ("url", "connection"):
+    if how in ("url", "connection", "basic"):
         return 1
     # words, names, calls and types are clear; other values without digits or with brackets are not under a telling name
-    if how != "word" and _SECRET_NAME.search(name) and 8 <= len(value) <= 64 and (not re.search(r"\d", value) or re.search(r"[(){}<>]", value)) and not _WORDS.fullmatch(value):
+    if how != "word" and _SECRET_NAME.search(name) and 8 <= len(value) <= WORDS_MOST and (not re.search(r"\d", value) or re.search(r"[(){}<>]", value)) and not _WORDS.fullmatch(value):
         return -1
     if not re.search(r"\d", value) or " " in value or re.search(r"^[\w./-]*/[\w.-]+\.\w{1,4}$|[(){}<>]|^https?://[^@]*$|::|^\.{0,2}/", value):
         return 0
-    if re.fullmatch(r"[A-Z][A-Z0-9_]*|[-+]?[\d.,:]+|[a-z]+(?:[_-][a-z]+)*[_-]?\d{0,3}", value) and not (_SECRET_NAME.search(name) and len(value) > 11 and re.search(r"\d", value)):
+    if _PLAIN.fullmatch(value) and not (_SECRET_NAME.search(name) and len(value) > 11 and re.search(r"\d", value)):
         return 0
     if len(value) > 120 and not _SECRET_NAME.search(name):
         return 0
@@ -171,32 +193,100 @@ def weak(name: str, value: str, how: str) -> int:
     return -1
 
 
-def pairs_of(value: str) -> list[int]:
-    """Character transitions of a value as numbers below 32 * 32, letters folded into a few classes."""
-    codes = [0 if c.isspace() else 1 if c in "aeiouAEIOU" else 2 + (ord(c) - 97) // 3 if "a" <= c <= "z" else 12 + (ord(c) - 65) // 5 if "A" <= c <= "Z" else 19 if c.isdigit() else 20 + "+/=_-.:@!".find(c) if c in "+/=_-.:@!" else 30 for c in value]
-    return [a * 32 + b for a, b in zip([31, *codes], codes, strict=False)]
-
-
-def vector(name: str, value: str, how: str, path: str, log_odds: np.ndarray) -> np.ndarray:
-    v = body(value)[:400]
-    n = max(1, len(v))
-    counts = {c: v.count(c) for c in set(v)}
-    entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
-    moves = pairs_of(v)
-    classes = sum(bool(re.search(p, v)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^\w\s]"))
-    changes = sum(1 for a, b in zip(v, v[1:], strict=False) if (a.islower(), a.isupper(), a.isdigit()) != (b.islower(), b.isupper(), b.isdigit())) / n
-    secret = bool(_SECRET_NAME.search(name))
-    random_like = float(classes >= 3 and n >= 14 and changes > 0.25)
-    ext = path.rpartition(".")[2].lower() if "." in path else ""
-    x = [
-        float(log_odds[moves].mean()) if moves else 0.0, entropy / 4, min(n, 80) / 40, classes / 2, changes, sum(c.isdigit() for c in v) / n, float(" " in v),
-        float(bool(_PLACEHOLDER.search(value))), float(bool(_DIGEST.match(value))), float(secret), random_like, float(secret and classes >= 3 and n >= 8), float(how in ("url", "connection")),
-        float(how == "word"), float(how == "bare"), float(bool(re.search(r"[(){}<>\s]|^\.{0,2}/|/[\w.-]+\.\w{1,4}$|::", value))), float(ext in ("env", "yml", "yaml", "toml", "properties", "json", "ini", "conf")), float(not re.search(r"\d", v)), float(how == "dense"),
-    ]
-    names = np.zeros(NAME_BUCKETS)
-    for part in _NAME_PARTS.findall(name):
-        names[zlib.crc32(part.lower().encode()) % NAME_BUCKETS] = 0.25
-    return np.concatenate([x, names])
+def _classes() -> np.ndarray:
+    """Class below 32 of every character up to U+007F: a few letters to a class, and one class for all characters beyond."""
+    out = np.full(129, 30, np.int64)
+    for n in range(128):
+        c = chr(n)
+        if c.isspace():
+            out[n] = 0
+        elif c in "aeiouAEIOU":
+            out[n] = 1
+        elif "a" <= c <= "z":
+            out[n] = 2 + (n - 97) // 3
+        elif "A" <= c <= "Z":
+            out[n] = 12 + (n - 65) // 5
+        elif c.isdigit():
+            out[n] = 19
+        elif c in "+/=_-.:@!":
+            out[n] = 20 + "+/=_-.:@!".find(c)
+    return out
+
+
+_CLASS = _classes()
+_SIDE = re.compile(r"[(){}<>\s]|^\.{0,2}/|/[\w.-]+\.\w{1,4}$|::")
+_SEGMENT = re.compile(r"[A-Za-z0-9]+")
+_CONFIG = ("env", "yml", "yaml", "toml", "properties", "json", "ini", "conf")
+
+
+class _Chars:
+    """The characters of many strings, one after the other: row, code and class of each."""
+
+    def __init__(self, values: list[str]):
+        self.size = np.array([len(v) for v in values], np.int64)
+        self.row = np.repeat(np.arange(len(values)), self.size)
+        self.code = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        self.kind = _CLASS[np.minimum(self.code, 128)]
+        self.first = np.concatenate([[True], self.row[1:] != self.row[:-1]]) if len(self.row) else np.zeros(0, bool)
+
+    def moves(self) -> np.ndarray:
+        """Transition at each character as a number below 32 * 32; the first of a string comes from class 31."""
+        before = np.where(self.first, 31, np.concatenate([[31], self.kind[:-1]])) if len(self.kind) else self.kind
+        return before * 32 + self.kind
+
+    def mean(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, x, len(self.size)) / np.maximum(self.size, 1)
+
+
+def transitions(rows) -> np.ndarray:
+    """Character transitions of the labelled ones of (name, value, how) rows, by label."""
+    counts = np.zeros((2, 1024))
+    for y, values in _by_label(rows).items():
+        counts[y] += np.bincount(_Chars(values).moves(), minlength=1024)
+    return counts
+
+
+def _by_label(rows) -> dict[int, list[str]]:
+    out: dict[int, list[str]] = {0: [], 1: []}
+    for name, value, how in rows:
+        y = label(name, value, how) if how != "pem" else -1
+        if y >= 0:
+            out[y].append(body(value))
+    return out
+
+
+def vectors(rows: list[tuple[str, str, str, str]], log_odds: np.ndarray) -> np.ndarray:
+    """Features of (name, value, how, path) candidates: likelihoods, shape, identifier and place; whole values, in one go."""
+    values = [body(r[1]) for r in rows]
+    c = _Chars(values)
+    n = np.maximum(c.size, 1)
+    at, times = np.unique(c.row * 0x110000 + c.code, return_counts=True)
+    share = times / n[at // 0x110000]
+    entropy = -np.bincount(at // 0x110000, share * np.log2(share), len(rows))
+    lower, upper, digit = (c.code >= 97) & (c.code <= 122), (c.code >= 65) & (c.code <= 90), (c.code >= 48) & (c.code <= 57)
+    kind = lower * 1 + upper * 2 + digit * 3
+    turn = np.concatenate([[False], kind[1:] != kind[:-1]]) & ~c.first if len(kind) else kind.astype(bool)
+    has = [np.bincount(c.row, x, len(rows)) > 0 for x in (lower, upper, digit, ~(lower | upper | digit | (c.code == 95) | (c.kind == 0)))]
+    classes, changes = np.sum(has, axis=0), c.mean(turn)
+    longest = [max(_SEGMENT.findall(v), key=len, default="") for v in values]  # the random part between - and _
+    s = _Chars(longest)
+    letters = np.bincount(s.row, (s.code >= 65), len(rows))
+    digits = np.bincount(s.row, (s.code < 58), len(rows))
+    flags = np.array([
+        [bool(_PLACEHOLDER.search(v)), bool(_DIGEST.match(v)), bool(_SECRET_NAME.search(k)), bool(_FORMAT.match(v)), bool(_SIDE.search(v)), len(v) <= WORDS_MOST and bool(_WORDS.fullmatch(v)), " " in v,
+         h in ("url", "connection", "basic"), h == "word", h == "bare", h == "dense", q.rpartition(".")[2].lower() in _CONFIG, len(v) > 120, bool(_PLAIN.fullmatch(v)), len(v) < 8]
+        for k, v, h, q in rows
+    ], dtype=float).reshape(len(rows), 15)
+    mixed = ((letters >= 4) & (digits >= 2) & (s.size >= 20)).astype(float)
+    dense = np.column_stack([
+        c.mean(log_odds[c.moves()]), s.mean(log_odds[s.moves()]), entropy / 4, np.minimum(n, 16) / 16, n > 80, np.minimum(s.size, 60) / 30, classes / 2, changes, c.mean(digit), ~has[2],
+        (classes >= 3) & (n >= 14) & (changes > 0.25), mixed, flags[:, 2] * ((classes >= 3) & (n >= 8)), flags[:, 2] * mixed, flags[:, 3] * (1 - flags[:, 0]), flags[:, 13] * (1 - flags[:, 2]), flags[:, 5] * (1 - flags[:, 2]), flags,
+    ])
+    names = np.zeros((len(rows), NAME_BUCKETS))
+    for i, r in enumerate(rows):
+        for part in _NAME_PARTS.findall(r[0]):
+            names[i, zlib.crc32(part.lower().encode()) % NAME_BUCKETS] = 0.25
+    return np.hstack([dense, names])
 
 
 class Model:
@@ -205,12 +295,24 @@ class Model:
     def __init__(self, log_odds: np.ndarray, weights: np.ndarray, mean: np.ndarray, scale: np.ndarray):
         self.log_odds, self.weights, self.mean, self.scale = log_odds, weights, mean, scale
 
-    def probability(self, name: str, value: str, how: str, path: str) -> float:
-        if how == "pem":
-            return float("PRIVATE KEY" in value)
-        x = (vector(name, value, how, path, self.log_odds) - self.mean) / self.scale
-        z = float(x @ self.weights[:-1] + self.weights[-1])
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    def logits(self, rows: list[tuple[str, str, str, str]]) -> np.ndarray:
+        return ((vectors(rows, self.log_odds) - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1] if rows else np.zeros(0)
+
+    def probabilities(self, rows: list[tuple[str, str, str, str]]) -> np.ndarray:
+        """Calibrated probability of each candidate; a header of a key is one if it says so. Equal rows are scored once."""
+        place = {r: i for i, r in enumerate(dict.fromkeys(r for r in rows if r[2] != "pem"))}
+        p = 1 / (1 + np.exp(-np.clip(self.logits(list(place)), -30, 30)))
+        return np.array([float("PRIVATE KEY" in r[1]) if r[2] == "pem" else p[place[r]] for r in rows])
+
+
+def excluded(name: str, value: str, how: str) -> bool:
+    """The exact check behind the score: masks, references, digests, public keys and whole assignments, and plain words and names that no
+    telling name assigns, are no secrets whatever their score."""
+    if how == "pem":
+        return False
+    if _PLACEHOLDER.search(value) or _DIGEST.match(value) or (how == "word" and "=" in value.rstrip("=")):
+        return True
+    return not _FORMAT.match(value) and how not in ("url", "connection", "basic", "said") and len(value) <= WORDS_MOST and bool(_WORDS.fullmatch(value) or _PLAIN.fullmatch(value)) and not _SECRET_NAME.search(name)
 
 
 def label(name: str, value: str, how: str) -> int:
@@ -219,20 +321,24 @@ def label(name: str, value: str, how: str) -> int:
     return 1 if y < 0 and _SECRET_NAME.search(name) and len(value) >= 8 and re.search(r"\d", value) and not re.search(r"[\s(){}<>]", value) else y
 
 
-def transitions(rows) -> np.ndarray:
-    """Character transitions of the labelled ones of (name, value, how) rows, by label."""
-    counts = np.zeros((2, 1024))
-    for name, value, how in rows:
-        y = label(name, value, how) if how != "pem" else -1
-        if y >= 0:
-            np.add.at(counts[y], pairs_of(body(value)[:400]), 1)
-    return counts
+def _regression(x: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: np.ndarray) -> np.ndarray:
+    """Weights of a logistic regression, the constant last, by Newton steps."""
+    z = np.hstack([x, np.ones((len(x), 1))])
+    w = np.zeros(z.shape[1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve(z.T @ (z * (c * (p * (1 - p) + 1e-6))[:, None]) + np.diag(ridge), z.T @ (c * (y - p)) - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-5:
+            break
+    return w
 
 
-def fit(rows: list[tuple[str, str, str, str]], counts: np.ndarray | None = None) -> Model:
-    """The model from (name, value, how, path) of candidates; without labels of both kinds it gives pattern matches only.
+def fit(rows: list[tuple], counts: np.ndarray | None = None) -> Model:
+    """The model from (name, value, how, path[, occurrences]) of candidates; without labels of both kinds it gives pattern matches only.
 
-    counts are the transitions of all labelled candidates, those of rows if not given.
+    counts are the transitions of all labelled candidates, those of rows if not given. A fifth of the values is held out
+    of the regression; a second one on their scores (slope and constant) makes the probabilities those of the labels.
     """
     labelled = [(r, label(r[0], r[1], r[2])) for r in rows if r[2] != "pem"]
     labelled = [(r, y) for r, y in labelled if y >= 0]
@@ -241,21 +347,23 @@ def fit(rows: list[tuple[str, str, str, str]], counts: np.ndarray | None = None)
     odds = rate[1] - rate[0]
     if not labelled:
         labelled = [(("", "", "bare", ""), 0)]
-    x = np.array([vector(*r, odds) for r, _ in labelled])
+    # unknown forms are only labelled under telling names: each also stands without one, so that the form itself counts
+    labelled += [(("", r[1], h, r[3]), 1) for r, y in labelled if y == 1 and r[2] in ("quoted", "bare", "said") and not _FORMAT.match(r[1]) for h in ("quoted", "word")]
+    x = vectors([r[:4] for r, _ in labelled], odds)
     y = np.array([float(v) for _, v in labelled])
-    mean, scale = x.mean(0), x.std(0) + 1e-3
+    aside = np.array([zlib.crc32(r[1].encode(errors="replace")) % 5 == 0 for r, _ in labelled])
+    mean, scale = x.mean(0), x.std(0) + 1e-2
     scale[-NAME_BUCKETS:] = 1.0
     mean[-NAME_BUCKETS:] = 0.0
-    z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-    w = np.zeros(z.shape[1])
-    ridge = np.eye(len(w)) * 2.0
-    balance = np.where(y > 0, max(1.0, 0.3 * len(y) / max(1.0, y.sum())), 1.0)
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve(z.T @ (z * (balance * (p * (1 - p) + 1e-6))[:, None]) + ridge, z.T @ (balance * (y - p)) - ridge @ w)
-        w += step
-        if np.abs(step).max() < 1e-5:
-            break
+    x = (x - mean) / scale
+    times = np.array([1 + np.log(r[4]) if len(r) > 4 else 1.0 for r, _ in labelled])
+    balance = np.where(y > 0, max(1.0, 0.3 * len(y) / max(1.0, y.sum())), 1.0) * times
+    fitted = ~aside if y[~aside].any() else ~np.zeros_like(aside)
+    w = _regression(x[fitted], y[fitted], balance[fitted], np.full(x.shape[1] + 1, RIDGE))
+    if y[aside].sum() >= 20 and (y[aside] == 0).sum() >= 20:
+        a, b = _regression((x[aside] @ w[:-1] + w[-1])[:, None], y[aside], balance[aside], np.array([0.1, 0.1]))
+        if a > 0:
+            w = np.concatenate([w[:-1] * a, [w[-1] * a + b]])
     return Model(odds, w, mean, scale)
 
 
@@ -282,7 +390,7 @@ def extracted(documents: DataFrame, symbols: DataFrame) -> DataFrame:
 def located(documents: DataFrame, symbols: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """tbl, row_key, field, text_hash, line_no, at, until and probability of every candidate at or above THRESHOLD."""
     found = cut(extracted(documents, symbols))
-    each = cut(found.groupBy("value", "name", "how").agg(F.min("path").alias("path")))
+    each = cut(found.groupBy("value", "name", "how").agg(F.min("path").alias("path"), F.count("*").alias("n")))
 
     def count(batches):
         total = sum((transitions(pdf[["name", "value", "how"]].itertuples(index=False)) for pdf in batches), np.zeros((2, 1024)))
@@ -292,14 +400,22 @@ def located(documents: DataFrame, symbols: DataFrame, sample: int = SAMPLE) -> D
     counts = np.zeros((2, 1024))
     for r in each.mapInPandas(count, "y int, pair int, n double").groupBy("y", "pair").agg(F.sum("n").alias("n")).collect():  # at most 2,048 rows
         counts[r.y, r.pair] = r.n
-    rows = each.select("name", "value", "how", "path").orderBy(F.xxhash64("value", "name"), "value", "name", "how").limit(sample).collect()
-    model = fit([tuple(r) for r in rows], counts)
+    # half of the sample by different candidates, half by how often they occur: a threshold on the hash first, a little
+    # high, so that no task sends more rows than the fit could take
+    size = each.agg(F.count("*").alias("d"), F.sum("n").alias("n")).first()
+    at = F.pmod(F.xxhash64("value", "name", "how"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    order = at / (F.lit(sample / 2 / max(1, size.d)) + F.lit(sample / 2 / max(1, size.n or 0)) * F.col("n"))
+    taken = each.withColumn("order", order).where(F.col("order") < 1 + 4 / sample**0.5) if size.d > sample else each.withColumn("order", order)
+    rows = [r[1:] for r in sorted(tuple(r) for r in taken.select("order", "name", "value", "how", "path", "n").collect())[:sample]]
+    model = fit(sorted(rows), counts)
 
     def run(batches):
         for pdf in batches:
-            # the exact check behind the score: forms that are no credentials whatever their score
-            p = [model.probability(n, v, h, q) if weak(n, v, h) else 0.0 for n, v, h, q in pdf[["name", "value", "how", "path"]].itertuples(index=False)]
-            yield pdf[["tbl", "row_key", "field", "text_hash", "line_no", "at", "until"]].assign(probability=np.array(p, dtype=float))
+            rows = list(pdf[["name", "value", "how", "path"]].itertuples(index=False, name=None))
+            out = np.array([excluded(*r[:3]) for r in rows], dtype=bool)
+            p = np.zeros(len(rows))
+            p[~out] = model.probabilities([r for r, o in zip(rows, out, strict=True) if not o])
+            yield pdf[["tbl", "row_key", "field", "text_hash", "line_no", "at", "until"]].assign(probability=p)
 
     return found.mapInPandas(run, "tbl string, row_key long, field string, text_hash long, line_no int, at int, until int, probability double").where(F.col("probability") >= THRESHOLD)
 
@@ -324,7 +440,7 @@ def _masked(texts: DataFrame, found: DataFrame, key: list[str], schema: str) ->
             done = [(t, 0) if t is None or c is None else mask(t, [(x["at"], x["until"]) for x in c]) for t, c in zip(pdf["text"], pdf["spans"], strict=True)]
             yield pdf.drop(columns=["spans"]).assign(text=[t for t, _ in done], n_masked=np.array([n for _, n in done], dtype="int32"))
 
-    return texts.join(spans, key, "left").select(*texts.columns, "spans").mapInPandas(run, schema)
+    return texts.join(small(cut(spans), 4096), key, "left").select(*texts.columns, "spans").mapInPandas(run, schema)
 
 
 def masked_documents(documents: DataFrame, found: DataFrame) -> DataFrame:
