@@ -1,4 +1,5 @@
-"""References whose target was not there: keyed liveness state over arrivals and deletions.
+"""References whose target was not there: keyed pending state over arrivals and deletions, kept batch by batch (maintained),
+or replayed over all data at once (orphans, open_orphans).
 
 Every event belongs to a key (repo, name). A parent's arrival adds one live target to each name it answers to, its
 deletion takes it away again; a reference probes its name at its own arrival. The state of a key is the number of its
@@ -9,13 +10,16 @@ single events, and the references of a busy (key, period) are salted against a c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions.paths import blank, import_names, normal_path
+from codeloom.session import cut
 
 KEY = ["domain", "repo", "name"]
+#: Field of the references of each domain of names.
+FIELDS = {"path": ("imports", "from_path"), "import": ("imports", "to_path"), "symbol": ("symbols", "parent_id")}
 #: References of one key and period that one task replays before they are salted.
 SALT_ROWS = 50_000
 
@@ -113,9 +117,8 @@ def open_orphans(refs: DataFrame, changes: DataFrame, period: str = "month") ->
     at = F.date_trunc(period, "at").alias("period")
     r = refs.groupBy(*KEY, "ref_table", "ref_field", at).agg(F.count("*").alias("n_refs"))
     c = changes.groupBy(*KEY, at).agg(F.sum("delta").cast("long").alias("change"))
-    fields = {"path": ("imports", "from_path"), "import": ("imports", "to_path"), "symbol": ("symbols", "parent_id")}
-    named = F.create_map(*[F.lit(x) for d, (t, f) in fields.items() for x in (d, f)])
-    tables = F.create_map(*[F.lit(x) for d, (t, f) in fields.items() for x in (d, t)])
+    named = F.create_map(*[F.lit(x) for d, (t, f) in FIELDS.items() for x in (d, f)])
+    tables = F.create_map(*[F.lit(x) for d, (t, f) in FIELDS.items() for x in (d, t)])
     c = c.withColumns({"ref_table": tables[F.col("domain")], "ref_field": named[F.col("domain")]})
     events = r.unionByName(c, allowMissingColumns=True).groupBy(*KEY, "ref_table", "ref_field", "period").agg(
         F.coalesce(F.sum("n_refs"), F.lit(0)).alias("n_refs"), F.coalesce(F.sum("change"), F.lit(0)).alias("change")
@@ -127,3 +130,75 @@ def open_orphans(refs: DataFrame, changes: DataFrame, period: str = "month") ->
     steps = events.withColumn("step", F.col("now") - F.coalesce(F.lag("now").over(w), F.lit(0)))
     months = steps.groupBy("ref_table", "ref_field", "period").agg(F.sum("step").alias("step"))
     return months.select("ref_table", "ref_field", "period", F.sum("step").over(W.partitionBy("ref_table", "ref_field").orderBy("period")).alias("waiting"))
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """df with its names as one 16-byte key (a null repo is a repo of its own), which is all that a shuffle of the state
+    carries of them."""
+    name = F.concat(F.col("domain"), F.lit("\0"), F.coalesce(F.concat(F.lit("r"), "repo"), F.lit("")), F.lit("\0"), "name")
+    return df.withColumn("key", F.unhex(F.md5(name)))
+
+
+def empty_state(spark: SparkSession) -> DataFrame:
+    """The pending state before any event: key, domain, live targets of the key, references to it so far."""
+    return spark.createDataFrame([], "key binary, domain string, live long, refs long")
+
+
+def step(state: DataFrame, refs: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One batch of events over the state: (the state after it, the references of the batch without a live target).
+
+    refs and changes are keyed and later than all that the state has seen. References probe the live targets of their key
+    at their own moment; arriving targets resolve the references that wait for them and deletions reopen them, both by the
+    count of live targets of the key. Keys without events keep their row as it is. Only references of keys whose targets
+    change within the batch are replayed, salted where they are many.
+    """
+    a = refs.groupBy("key", "domain").agg(F.count("*").alias("n_refs"))
+    b = changes.groupBy("key", "domain").agg(F.sum("delta").alias("change"), F.count("*").alias("n_changes"))
+    old = state.select("key", "domain", "live", "refs")
+    each = old.unionByName(a, allowMissingColumns=True).unionByName(b, allowMissingColumns=True)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    merged = cut(each.groupBy("key", "domain").agg(*[total(c) for c in ("live", "refs", "n_refs", "change", "n_changes")]))
+    after = merged.select("key", "domain", (F.col("live") + F.col("change")).alias("live"), (F.col("refs") + F.col("n_refs")).alias("refs"))
+    now = merged.where("n_refs > 0 AND (live <= 0 OR n_changes > 0)").select("key", "live", "n_changes", F.ceil((F.col("n_refs") + 1) / SALT_ROWS).cast("int").alias("salts"))
+    out = ["ref_table", "ref_key", "ref_field", "repo", "name", "at"]
+    met = refs.join(now, "key")
+    quiet = met.where("n_changes = 0").select(*out)
+    salt = F.pmod(F.xxhash64("ref_table", "ref_field", "ref_key"), F.col("salts")).cast("int").alias("salt")
+    busy = met.where("n_changes > 0").select("key", salt, "live", F.lit(0).cast("long").alias("delta"), *out)
+    moved = changes.groupBy("key", "at").agg(F.sum("delta").cast("long").alias("delta")).join(now.where("n_changes > 0"), "key")
+    moved = moved.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "delta", "at")
+    # Target changes come before the references of the same moment.
+    w = W.partitionBy("key", "salt").orderBy("at", F.col("ref_table").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    replayed = busy.unionByName(moved, allowMissingColumns=True).withColumn("moved", F.sum("delta").over(w)).where("ref_table IS NOT NULL AND live + moved <= 0")
+    return after, quiet.unionByName(replayed.select(*out))
+
+
+def snapshot(state: DataFrame) -> DataFrame:
+    """(ref_table, ref_field, waiting): references seen so far whose key has no live target now."""
+    n = state.where("refs > 0").groupBy("domain").agg(F.sum(F.when(F.col("live") <= 0, F.col("refs")).otherwise(0)).alias("waiting"))
+    named = F.create_map(*[F.lit(x) for d, (t, f) in FIELDS.items() for x in (d, F.struct(F.lit(t).alias("t"), F.lit(f).alias("f")))])
+    return n.select(named[F.col("domain")]["t"].alias("ref_table"), named[F.col("domain")]["f"].alias("ref_field"), "waiting")
+
+
+def maintained(refs: DataFrame, changes: DataFrame, period: str = "quarter") -> tuple[DataFrame, list[tuple[object, DataFrame]]]:
+    """All events in batches of one period each through step: (the references without a target at their own arrival,
+    [(period, snapshot at its end)]).
+
+    The events are keyed and written once, by period; the state of every batch is written to the shared folder before the
+    next, so a lost executor costs at most its part of one batch. Empty inputs give no rows and no snapshots.
+    """
+    spark = refs.sparkSession
+    r = cut(keyed(refs).withColumn("period", F.date_trunc(period, "at")))
+    c = cut(keyed(changes).groupBy("key", "domain", "at").agg(F.sum("delta").cast("long").alias("delta")).withColumn("period", F.date_trunc(period, "at")))
+    periods = sorted(x.period for x in r.select("period").union(c.select("period")).distinct().collect())  # a few per year
+    state = empty_state(spark)
+    found, snapshots = [], []
+    for p in periods:
+        state, orphan = step(state, r.where(F.col("period") == F.lit(p)), c.where(F.col("period") == F.lit(p)))
+        found.append(orphan)
+        snapshots.append((p, snapshot(state)))
+    none = r.select("ref_table", "ref_key", "ref_field", "repo", "name", "at").limit(0)
+    out = found[0] if found else none
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out, snapshots
