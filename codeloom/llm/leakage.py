@@ -16,13 +16,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import cut, small
+
 K = 5
 LEAST = 20
 ONE_IN = 8
 #: Rows of item fingerprints up to which they are broadcast; beyond, the join is a shuffle.
 BROADCAST_ROWS = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
-_TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>")
+_TAG = re.compile(r"</?[a-zA-Z][^<>\n]*+>")
 
 
 def words(text: str) -> list[str]:
@@ -162,17 +164,17 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     Documents and items without text give no rows, items shorter than LEAST words can't leak; a document or item that
     occurs twice counts once. Columns other than doc_id, text, item_id and suite are ignored.
     """
-    tests = without_instruction(items).cache()
+    tests = cut(without_instruction(items))
 
     def run(batches):
         for pdf in batches:
             i, h, p = fingerprints([list(x) for x in pdf["words"]])
             yield pd.DataFrame({"item_id": pdf["item_id"].to_numpy()[i], "fp": h, "ipos": p})
 
-    known = tests.mapInPandas(run, "item_id long, fp long, ipos int").cache()
+    known = cut(tests.mapInPandas(run, "item_id long, fp long, ipos int"))
     known = F.broadcast(known) if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else known
     hits = fingerprint_rows(documents, "doc_id").join(known, "fp")
-    met = hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.col("pos") - F.col("ipos")).alias("diagonals"))
+    met = cut(hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.col("pos") - F.col("ipos")).alias("diagonals")))
     pairs = met.join(tests, "item_id")
     by_doc = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "words", "diagonals")).alias("tests"))
 
@@ -188,5 +190,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                         out.append((doc, case["item_id"]))
             yield pd.DataFrame(out, columns=["doc_id", "item_id"]).astype("int64")
 
-    texts = documents.select("doc_id", "text").where("text is not null").join(by_doc, "doc_id")
+    # only the texts of documents with a hit move: their ids meet the texts where they lie, if they are few enough to send
+    some = documents.select("doc_id", "text").where("text is not null").join(small(cut(met.select("doc_id").distinct()), 64), "doc_id", "left_semi")
+    texts = some.join(by_doc, "doc_id")
     return texts.mapInPandas(judge, "doc_id long, item_id long").dropDuplicates()
