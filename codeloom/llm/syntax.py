@@ -249,19 +249,20 @@ def failure(text: str, ext: str) -> tuple[int, str] | None:
 def checked(files: DataFrame, documents: DataFrame) -> DataFrame:
     """file_id, repo, language, line and cause (both null where the text parses) of each source file with a text.
 
+    Texts are parsed where they lie, by the extension of the path that their own row names; only verdicts are shuffled.
     Files delivered again count once. Empty texts parse; null texts and unknown extensions give no row.
     """
     f = files.where(F.col("file_id").isNotNull() & is_source(F.col("repo_path"))).groupBy("file_id").agg(F.min(F.struct("ingested_at", "repo", "repo_path")).alias("r"))
-    d = documents.where("kind = 'source' AND file_id IS NOT NULL AND text IS NOT NULL").select("file_id", "text")
-    rows = f.select("file_id", "r.repo", extension(F.col("r.repo_path")).alias("ext")).join(d, "file_id")
+    d = documents.where("kind = 'source' AND file_id IS NOT NULL AND text IS NOT NULL").where(is_source(F.col("repo_path")))
 
     def run(batches):
         for pdf in batches:
             out = []
-            for fid, repo, ext, text in pdf[["file_id", "repo", "ext", "text"]].itertuples(index=False):
+            for fid, ext, text in pdf.itertuples(index=False):
                 bad = failure(text, ext)
-                out.append((fid, repo, EXTENSIONS[ext], bad[0] if bad else None, bad[1] if bad else None))
-            yield pd.DataFrame(out, columns=["file_id", "repo", "language", "line", "cause"]).astype({"line": "Int32"})
+                out.append((fid, EXTENSIONS[ext], bad[0] if bad else None, bad[1] if bad else None))
+            yield pd.DataFrame(out, columns=["file_id", "language", "line", "cause"]).astype({"line": "Int32"})
 
-    done = rows.mapInPandas(run, "file_id long, repo string, language string, line int, cause string")
-    return done.groupBy("file_id").agg(F.min(F.struct("repo", "language", "line", "cause")).alias("r")).select("file_id", "r.*")
+    told = d.select("file_id", extension(F.col("repo_path")).alias("ext"), "text").mapInPandas(run, "file_id long, language string, line int, cause string")
+    told = told.groupBy("file_id").agg(F.min(F.struct("language", "line", "cause")).alias("t"))
+    return f.join(told, "file_id").select("file_id", "r.repo", "t.language", "t.line", "t.cause")
