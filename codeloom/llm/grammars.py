@@ -137,19 +137,52 @@ def script(types: bool, markup: bool) -> str:
     return text.replace("/ JSX", "/ jsx" if markup else "/ '<' type '>' unary" if types else "")
 
 
-GO = """
-file <- 'package' ID sep (decl sep)* END
-sep <- (';' / NLB / &END)+
-decl <- ';' / 'import' (STR / ID STR / '.' STR / '(' (( ID / '.')? STR ';'?)* ')') / 'type' rest / ('var' / 'const') rest / 'func' (paren)? ID bracket? paren (!'{' !NLB item)* brace?
-rest <- (!NLB item / item)+
-item <- !'package' !'import' !'func' unit / 'func' paren (!'{' !NLB unit)* brace / 'func' paren
-paren <- '(' inner ')'
-bracket <- '[' inner ']'
-brace <- '{' inner '}'
-inner <- (item)*
-unit <- paren / bracket / brace / !('(' / '[' / '{' / '}' / ')' / ']' / END) pair
-pair <- !(binop &(')' / ']' / '}' / END / ';')) !(ID !NLB ID !NLB ID !NLB ID) ANY
-binop <- '+' / '-' / '/' / '%' / '==' / '!=' / '<' / '>' / '<=' / '>=' / '&&' / '||' / '=' / ':='
+_GO = """
+file <- 'package' ID sep ('import' imports sep)* (decl sep)* END
+sep <- ';'+ / NLB / &')' / &'}' / &END
+imports <- (ID / '.')? STR / '(' ((ID / '.')? STR sep)* ')'
+decl <- ';' / 'import' imports / vard / constd / typed / 'func' params? ID tparams? sig block?
+vard <- 'var' ('(' (varspec sep)* ')' / varspec)
+varspec <- ids (type ('=' exprs)? / '=' exprs)
+constd <- 'const' ('(' (constspec sep)* ')' / constspec)
+constspec <- ids (!NLB type? '=' exprs)?
+typed <- 'type' ('(' (typespec sep)* ')' / typespec)
+typespec <- ID tparams? '='? type
+tparams <- '[' ids constraint (',' ids constraint)* ','? ']'
+constraint <- '~'? type ('|' '~'? type)*
+ids <- ID (',' ID)*
+sig <- params (!NLB (params / type))?
+params <- '(' (param (',' param)* (',' / !NLB))? ')'
+param <- ID '...'? type / '...' type / type
+type <- ID ('.' ID)? (!NLB '[' type (',' type)* ']')? / '*' type / '[' ('...' / expr)? ']' type / 'map' '[' type ']' type / 'chan' ('<' '-')? type / '<' '-' 'chan' type / 'func' sig / struct / interface / '(' type ')'
+struct <- 'struct' '{' (field sep)* '}'
+field <- (ids !NLB type / '*'? ID ('.' ID)? (!NLB '[' type (',' type)* ']')?) (!NLB STR)?
+interface <- 'interface' '{' ((ID params (!NLB (params / type))? / constraint) sep)* '}'
+block <- '{' stmts '}'
+stmts <- (';' / stmt sep)*
+stmt <- vard / constd / typed / 'return' (!NLB exprs)? / if / for / switch / 'select' '{' (('case' simple / 'default') ':' stmts)* '}' / ('go' / 'defer') expr / 'goto' ID / 'fallthrough' / ('break' / 'continue') (!NLB ID)? / block / ID ':' (!'}' stmt)? / simple
+if <- 'if' (simpleH? ';')? exprH block ('else' (if / block))?
+for <- 'for' (simpleH? ';' exprH? ';' simpleH? / (exprsH (':=' / '='))? 'range' exprH / exprH)? block
+switch <- 'switch' (simpleH? ';')? simpleH? '{' (('case' label (',' label)* / 'default') ':' stmts)* '}'
+label <- type &(',' / ':') / expr
+assignop <- ':=' / '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '&=' / '|=' / '^=' / '<<=' / '>>=' / '&' '^='
+binop <- '||' / '&&' / '==' / '!=' / '<=' / '>=' / '<<' / '<' / '>' '>' / '>' / '+' / '-' / '*' / '/' / '%' / '&' '^' / '&' / '|' / '^'
+args <- '(' (arg (',' arg)* (',' / !NLB))? ')'
+arg <- (type &(',' / ')') / expr) '...'?
+literal <- '{' (item (',' item)* (',' / !NLB))? '}'
+item <- (literal / expr) (':' (literal / expr))?
+"""
+# Expressions, and those of the heads of if, for and switch, where a brace after a name begins the body.
+_GO_EXPR = """
+simple@ <- exprs@ !NLB assignop exprs@ / expr@ !NLB ('++' / '--') / expr@
+exprs@ <- expr@ (',' expr@)*
+expr@ <- unary@ (!NLB binop unary@)*
+unary@ <- ('+' / '-' / '!' / '^' / '*' / '&' / '<' '-')* postfix@
+postfix@ <- primary (!NLB tail@)*
+tail@ <- '.' (ID / '(' ('type' / type) ')') / '[' (expr? ':' expr? (':' expr)? / type (',' type)* ','? / expr) ']' / args LITERAL
+"""
+GO = _GO + _GO_EXPR.replace("@", "").replace("LITERAL", "/ literal") + _GO_EXPR.replace("@", "H").replace(" LITERAL", "") + """
+primary <- NUM / STR / 'func' sig block / ('[' ('...' / expr)? ']' type / 'map' '[' type ']' type / struct) literal? / 'chan' type / interface / '(' expr ')' / '(' type ')' / ID
 """
 RUST = """
 file <- ('#' '!' bracket)* decl* END
@@ -173,44 +206,115 @@ binop <- '+' / '-' / '/' / '%' / '==' / '!=' / '<=' / '>=' / '&&' / '='
 JAVA = """
 file <- (annots 'package' dotted ';')? (';' / 'import' 'static'? dotted ('.' '*')? ';')* (';' / type)* END
 dotted <- ID ('.' ID)*
-annots <- ('@' !'interface' dotted paren?)*
-mods <- ('@' !'interface' dotted paren? / 'public' / 'private' / 'protected' / 'static' / 'final' / 'abstract' / 'sealed' / 'non' '-' 'sealed' / 'strictfp' / 'synchronized' / 'native' / 'transient' / 'volatile' / 'default')*
-type <- mods ('class' / 'interface' / 'enum' / 'record' / '@' 'interface') ID (!'{' !';' unit)* '{' constants? member* '}'
-constants <- ID (paren)? brace? (',' ID paren? brace?)* ','? (';' / &'}')
-member <- ';' / type / mods brace / mods tparams? ID paren throws brace / mods tparams? jtype ID (paren ('[' ']')* throws ('default' until / brace / ';') / until / ';')
-tparams <- '<' (!'>' unit)* '>'+
+annots <- annot*
+annot <- '@' !'interface' dotted ('(' (elem (',' elem)* ','?)? ')')?
+elem <- ID '=' elemval / elemval
+elemval <- '{' (elemval (',' elemval)*)? ','? '}' / annot / ternary
+mods <- (annot / 'public' / 'private' / 'protected' / 'static' / 'final' / 'abstract' / 'sealed' / 'non' '-' 'sealed' / 'strictfp' / 'synchronized' / 'native' / 'transient' / 'volatile' / 'default')*
+type <- mods (('class' / 'interface') ID tparams? clause* body / 'enum' ID clause* '{' (constant (',' constant)* ','?)? (';' member*)? '}' / 'record' ID tparams? '(' params? ')' clause* body / '@' 'interface' ID body)
+clause <- ('extends' / ID) jtype (',' jtype)*
+body <- '{' member* '}'
+constant <- annots ID args? body?
+member <- ';' / type / mods block / mods tparams? ID '(' params? ')' throws block / mods ID block / mods tparams? jtype ID '(' params? ')' dims throws (block / 'default' elemval ';' / ';') / mods jtype vars ';'
+tparams <- '<' tparam (',' tparam)* '>'
+tparam <- annots ID ('extends' jtype ('&' jtype)*)?
 throws <- ('throws' jtype (',' jtype)*)?
-jtype <- annots (ID targs? ('.' ID targs?)*) ('[' ']')* '...'?
+params <- param (',' param)*
+param <- mods jtype '...'? (ID ('.' ID)* dims)
+dims <- ('[' ']')*
+jtype <- annots ID targs? ('.' annots ID targs?)* dims
 targs <- '<' (targ (',' targ)*)? '>'
-targ <- '?' (('extends' / 'super') jtype)? / jtype ('&' jtype)*
-until <- (!';' unit)+ ';'
-paren <- '(' inner ')'
-bracket <- '[' inner ']'
-brace <- '{' stmts '}'
-stmts <- (block / control / until2)*
-block <- '{' stmts '}'
-control <- type / ('if' / 'while' / 'for' / 'switch' / 'synchronized' / 'catch' / 'try') paren / 'else' / 'try' / 'do' / 'finally' / ('case' / 'default') (!':' !'->' !';' unit)* (':' / '->') / ID ':' / ';'
-until2 <- (!';' !'{' unit / brace &(')' / ';' / '.' / ','))+ ';' / (!';' unit)+ ';'
-inner <- unit*
-unit <- paren / bracket / brace / '{' inner '}' / !('(' / '[' / '{' / '}' / ')' / ']' / END) pair
-pair <- !(binop &(')' / ']' / '}' / ';')) !(ID ID ID) ANY
-binop <- '+' / '-' / '*' / '/' / '%' / '==' / '!=' / '<=' / '>=' / '&&' / '||' / '='
+targ <- annots '?' (('extends' / 'super') jtype)? / jtype
+vars <- var (',' var)*
+var <- ID dims ('=' init)?
+init <- arrayinit / expr
+arrayinit <- '{' (init (',' init)*)? ','? '}'
+block <- '{' stmt* '}'
+par <- '(' expr ')'
+stmt <- block / ';' / 'if' par stmt ('else' stmt)? / 'while' par stmt / 'do' stmt 'while' par ';' / 'for' '(' forctl ')' stmt / 'switch' par swbody / try / 'return' expr? ';' / 'throw' expr ';' / 'synchronized' par block / ('break' / 'continue') ID? ';' / 'assert' expr (':' expr)? ';' / 'yield' expr ';' / type / mods jtype vars ';' / ID ':' stmt / expr ';'
+forctl <- mods jtype ID ':' expr / (mods jtype vars / exprs)? ';' expr? ';' exprs?
+exprs <- expr (',' expr)*
+try <- 'try' '(' res (';' res)* ';'? ')' block catch* finally? / 'try' block (catch+ finally? / finally)
+res <- mods jtype ID '=' expr / expr
+catch <- 'catch' '(' mods jtype ('|' jtype)* ID ')' block
+finally <- 'finally' block
+swbody <- '{' (('case' label (',' label)* (ID ternary)? / 'default') (':' stmt* / '->' (block / 'throw' expr ';' / expr ';')))* '}'
+label <- 'default' / pattern / ternary
+pattern <- mods jtype (ID / '(' (pattern (',' pattern)*)? ')' ID?)
+expr <- lambda / ternary (assignop expr)?
+assignop <- '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '&=' / '|=' / '^=' / '<<=' / '>>>=' / '>>=' / '>' '>=' / '>' '>' '>='
+lambda <- (ID / '(' (ID (',' ID)* / params)? ')') '->' (block / expr)
+ternary <- binary ('?' expr ':' (lambda / ternary))?
+binary <- unary (binop unary / 'instanceof' (pattern / 'final'? jtype))*
+binop <- '||' / '&&' / '|' / '^' / '&' / '==' / '!=' / '<=' / '>=' / '<<' / '<' / '>' '>' '>' / '>' '>' / '>' / '+' / '-' / '*' / '/' / '%'
+unary <- ('+' / '-' / '++' / '--' / '!' / '~')* ('(' jtype ('&' jtype)* ')' (lambda / !'+' !'-' !'++' !'--' unary) / postfix)
+postfix <- primary suffix* ('++' / '--')*
+suffix <- '.' 'new' creator / '.' targs? (ID / 'super' / 'class' / 'yield') args? / '[' expr ']' / '::' targs? ('new' / ID) / args
+primary <- NUM / STR / 'new' creator / '(' expr ')' / 'switch' par swbody / 'super' / typeref / ID
+typeref <- ID ('.' ID)* (targs dims / '[' ']' dims) ('::' ('new' / ID) / '.' 'class')
+creator <- annots ID targs? ('.' ID targs?)* (('[' expr ']')+ dims / ('[' ']')+ arrayinit / args body?)
+args <- '(' exprs? ')'
 """
 C = """
 file <- decl* END
-decl <- ';' / ('public' / 'private' / 'protected') ':' / head* (brace ';' / ';' / brace)
-head <- !'{' !';' unit / brace &(ID / '=' / '*' / '(' / ',')
-paren <- '(' inner ')'
-bracket <- '[' inner ']'
-brace <- '{' body '}'
-body <- (block / stmt)*
-block <- brace
-stmt <- ';' / !'}' (!';' !'{' !'}' unit2 / brace)* (';' / &brace / &'}' )
-unit2 <- paren / bracket / !('(' / '[' / '{' / ')' / ']' / END) pair
-inner <- (brace / unit)*
-unit <- paren / bracket / !('(' / '[' / '{' / '}' / ')' / ']' / END) pair
-pair <- !(binop &(')' / ']' / '}' / ';')) !(ID ID ID ID) ANY
-binop <- '+' / '-' / '/' / '%' / '==' / '!=' / '<=' / '>=' / '&&' / '||'
+decl <- ';' / ('public' / 'private' / 'protected' / ID) ':' !':' / 'extern' STR ('{' decl* '}' / decl) / 'inline'? 'namespace' attrs (ID ('::' ID)*)? '{' decl* '}' / 'namespace' ID '=' qual ';' / 'using' 'namespace' qual ';' / 'using' ID '=' type abstract ';' / 'using' 'typename'? qual ';' / 'template' ('<' tparam (',' tparam)* '>' / '<' '>')? decl / 'friend' decl / ID '(' args? ')' ';' / func / def
+def <- spec* vars? ';' / 'typedef' spec+ vars ';'
+spec <- attrs ('const' / 'static' / 'unsigned' / 'signed' / 'long' / 'short' / 'inline' / 'extern' / 'virtual' / 'constexpr' / 'volatile' / 'auto' / 'explicit' / 'typename' / 'typedef') / aggregate / enum / &(declword) qual
+declword <- qual (ID / '*' / '&' / '&&' / 'const' / 'volatile' / 'unsigned' / 'long' / 'static' / 'operator' / '::' / '(' '*' / '~') / '::'
+attrs <- ('[' '[' (!']' ANY)* ']' ']')*
+aggregate <- ('class' / 'struct' / 'union') attrs qual? ('final')? (':' base (',' base)*)? '{' decl* '}' / ('class' / 'struct' / 'union') qual
+base <- ('public' / 'private' / 'protected' / 'virtual')* qual
+enum <- 'enum' ('class' / 'struct')? qual? (':' type)? '{' (ID ('=' ternary)? (',' ID ('=' ternary)?)* ','?)? '}' / 'enum' qual
+type <- ('const' / 'volatile' / 'unsigned' / 'signed' / 'long' / 'short' / 'struct' / 'class' / 'enum' / 'union' / 'typename' / 'static' / 'constexpr' / 'auto')* (qual / &('*' / '&' / '&&' / ')' / '>' / ',' / ID)) ('const' / 'volatile' / 'long' / 'unsigned')* ('*' / '&' / '&&' / 'const' / 'volatile')*
+qual <- '::'? part ('::' part)*
+part <- '~'? ID targs? / 'operator' opname
+opname <- 'new' / 'delete' / '(' ')' / '[' ']' / '->' / '<' '<' / '>' '>' / '<<' / '<=' / '>=' / '==' / '!=' / '+=' / '-=' / '*=' / '/=' / '++' / '--' / '&&' / '||' / '+' / '-' / '*' / '/' / '%' / '<' / '>' / '!' / '=' / '&' / '|' / '^' / '~' / type
+targs <- '<' (targ (',' targ)*)? '>'
+targ <- type abstract '...'? &(',' / '>') / add
+tparam <- ('class' / 'typename') '...'? ID? ('=' type)? / 'template' '<' tparam (',' tparam)* '>' ('class' / 'typename') ID? / type '...'? ID? ('=' add)?
+abstract <- ('*' / '&' / '&&' / 'const')* ('(' ('*' / '&') ')')? ('(' params? ')')? ('[' ternary? ']')*
+func <- spec* ptrs fname '(' params? ')' quals (init? fbody / '=' (NUM / 'default' / 'delete') ';' / ';') / spec* ptrs '(' '*' ID '(' params? ')' ')' '(' params? ')' (block / ';')
+fbody <- block / 'try' block catch+
+fname <- qual
+ptrs <- ('*' / '&' / '&&' / 'const' / 'volatile')*
+quals <- ('const' / 'volatile' / '&&' / '&' / ID ('(' args? ')')? / 'throw' '(' (type (',' type)*)? ')' / '->' type)*
+init <- ':' qual (('(' args? ')') / brace) '...'? (',' qual ('(' args? ')' / brace))*
+params <- param (',' param)* (',' '...')? / '...'
+param <- attrs type '...'? (declr / abstract) ('=' (brace / ternary))?
+declr <- ptrs (ID / '(' ptrs ID? suffix* ')') suffix*
+suffix <- '[' ternary? ']' / '(' params? ')' quals
+vars <- var (',' var)*
+var <- ptrs (qual / '(' ptrs qual? suffix* ')' / &':') suffix* (':' ternary)? ('=' (brace / assign) / brace / '(' args? ')')?
+block <- '{' stmt* '}'
+par <- '(' cond ')'
+cond <- condvar / expr
+condvar <- spec+ ptrs ID ('=' assign / brace)
+stmt <- block / ';' / 'if' 'constexpr'? '(' (simple)? cond ')' stmt ('else' stmt)? / 'while' par stmt / 'do' stmt 'while' '(' expr ')' ';' / 'for' '(' forctl ')' stmt / 'switch' par stmt / 'case' ternary ':' / 'default' ':' / 'return' (brace / expr)? ';' / 'goto' ID ';' / ('break' / 'continue') ';' / 'throw' expr? ';' / 'try' block catch+ / 'using' (!';' unitish)+ ';' / ID ':' !':' stmt / 'template' stmt / local ';' / expr ';' / aggregate vars? ';' / enum vars? ';' / 'typedef' spec+ vars ';' / func
+unitish <- !'{' !'}' ANY
+simple <- local ';' / expr? ';'
+local <- spec+ vars
+forctl <- spec+ ptrs (ID / '[' ID (',' ID)* ']') ':' (brace / expr) / (local / expr)? ';' (cond)? ';' expr?
+catch <- 'catch' '(' ('...' / param) ')' block
+expr <- assign (',' assign)*
+assign <- ternary (assignop (brace / assign))? / 'throw' assign
+assignop <- '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '&=' / '|=' / '^=' / '<<=' / '>>=' / '>' '>='
+ternary <- binary ('?' expr? ':' assign)?
+binary <- unary (binop unary)*
+binop <- '||' / '&&' / '|' / '^' / '&' / '==' / '!=' / '<=' / '>=' / '<<' / '<' / '>' '>' / '>' / '+' / '-' / '*' / '/' / '%' / '->' '*'
+add <- unary (('+' / '-' / '*' / '/' / '%' / '&&' / '||' / '==' / '!=' / '|' / '&' / '<<') unary)*
+unary <- ('+' / '-' / '++' / '--' / '!' / '~' / '*' / '&' / '&&')* (sizeof / cast / 'delete' ('[' ']')? unary / new / postfix)
+sizeof <- 'sizeof' '...'? ('(' type abstract ')' / unary)
+cast <- '(' type abstract ')' (brace / !'+' !'-' !'&' !'*' unary / &('(') unary / ('-' / '*' / '&') NUM)
+new <- '::'? 'new' ('(' args ')')? type ('[' expr ']')* ('(' args? ')' / brace)?
+postfix <- primary tail* ('++' / '--')*
+tail <- '(' args? ')' / '[' (brace / expr)? ']' / ('.' / '->') 'template'? qual / brace
+primary <- NUM / (STR / ID STR)+ (STR / ID !tail)* / lambda / '(' expr ')' / '(' block ')' / qual / ('unsigned' / 'long' / 'short' / 'signed' / 'auto')+ ('(' args? ')' / brace)
+lambda <- '[' (capture (',' capture)*)? ']' targs? ('(' params? ')')? quals block
+capture <- ('&' / '=' / '*')? ID? ('=' assign)? '...'?
+args <- arg (',' arg)*
+arg <- brace / assign '...'? / type abstract
+brace <- '{' (item (',' item)* ','?)? '}'
+item <- ('.' ID / '[' ternary ('...' ternary)? ']')+ '=' (brace / assign) / brace / assign '...'?
 """
 RUBY = """
 file <- inner END

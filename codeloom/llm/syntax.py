@@ -34,10 +34,10 @@ _CONFLICT = re.compile(r"^(?:<{7}(?: |$)|>{7}(?: |$)|={7}$|\|{7}(?: |$))", re.M)
 _KINDS = {".tsx": "tsx", ".jsx": "jsx", ".ts": "ts", ".mts": "ts", ".cts": "ts", ".js": "js", ".mjs": "js", ".cjs": "js"}
 # Keywords of the languages with coarse grammars.
 _KEYWORDS = {
-    "go": frozenset("package import func var const type return if else for range switch case default go defer chan map struct interface select goto fallthrough".split()),
+    "go": frozenset("package import func var const type return if else for range switch case default go defer chan map struct interface select goto fallthrough break continue go".split()),
     "rust": frozenset("use mod struct union enum trait unsafe impl static const type fn async extern crate pub let mut return if else match for in while loop as ref move dyn where await break".split()),
-    "java": frozenset("package import static class interface enum record public private protected final abstract sealed non strictfp synchronized native transient volatile default if while for switch catch try else do finally case throws extends super return new throw instanceof".split()),
-    "c": frozenset("public private protected return if else for while do switch case struct enum union class namespace using template const static unsigned long signed short inline extern typedef virtual constexpr volatile auto new delete throw operator typename friend explicit sizeof goto default".split()),
+    "java": frozenset("package import static class interface enum record public private protected final abstract sealed non strictfp synchronized native transient volatile default if while for switch catch try else do finally case throws extends super return new throw instanceof break continue assert yield".split()),
+    "c": frozenset("public private protected return if else for while do switch case struct enum union class namespace using template const static unsigned long signed short inline extern typedef virtual constexpr volatile auto new delete throw operator typename friend explicit sizeof goto default try catch break continue".split()),
 }
 _RUBY_WORDS = set("if unless while until and or not in then return rescue ensure else elsif when yield self nil true false super next break redo retry undef alias defined? raise require puts include extend private protected public module_function loop lambda proc".split())
 _OPENERS = set("class module def begin case".split())
@@ -61,7 +61,7 @@ def tokens(text: str, ext: str) -> tuple[list[str], list[bool], list[int]]:
     kinds: list[str] = []
     breaks: list[bool] = []
     places: list[int] = []
-    state = {"broke": True}
+    state = {"broke": True, "directive": 0}
 
     def put(kind, at):
         kinds.append(kind)
@@ -70,7 +70,7 @@ def tokens(text: str, ext: str) -> tuple[list[str], list[bool], list[int]]:
         state["broke"] = False
 
     def plain(a, b):
-        i = a
+        i = max(a, min(b, state["directive"]))
         while i < b:
             c = text[i]
             if c == "\n":
@@ -85,15 +85,14 @@ def tokens(text: str, ext: str) -> tuple[list[str], list[bool], list[int]]:
             elif c == "\\" and fam in ("python", "c", "ruby") and re.match(r"\\[ \t]*\n", text[i : i + 3]):
                 i = text.index("\n", i) + 1
             elif c == "#" and fam == "c":
-                while True:  # a directive runs to the end of its line, continued lines included
-                    end = text.find("\n", i, b)
-                    if end < 0:
-                        i = b
-                        break
-                    i = end + 1
-                    if text[end - 1] != "\\":
-                        i = end
+                end = i  # a directive runs to the end of its line, continued lines included
+                while True:
+                    end = text.find("\n", end)
+                    if end < 0 or text[end - 1] != "\\":
                         break
+                    end += 1
+                state["directive"] = len(text) if end < 0 else end
+                i = min(state["directive"], b)
             elif c.isdigit() or (c == "." and text[i + 1 : i + 2].isdigit() and (not kinds or kinds[-1] not in ("ID", ")", "]"))):
                 m = tail.match(text, i)
                 if m and not (fam == "js" and re.match(r"0\d*[89]?\d", m.group()) and ext in (".mjs", ".mts")):
@@ -155,6 +154,8 @@ def tokens(text: str, ext: str) -> tuple[list[str], list[bool], list[int]]:
             if piece.startswith("/*") and (not piece.endswith("*/") or len(piece) < 4):
                 put("BAD", a)
             state["broke"] = state["broke"] or "\n" in piece
+        elif a < state["directive"]:
+            continue
         elif kind == "s":
             m = re.match(r"(?:[bB]?[rRuUbBfF]{0,2}#*|R)?(\"\"\"|'''|\"|'|`)", piece)
             quote = m.group(1) if m else '"'
