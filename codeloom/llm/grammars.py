@@ -141,7 +141,7 @@ _GO = """
 file <- 'package' ID sep ('import' imports sep)* (decl sep)* END
 sep <- ';'+ / NLB / &')' / &'}' / &END
 imports <- (ID / '.')? STR / '(' ((ID / '.')? STR sep)* ')'
-decl <- ';' / 'import' imports / vard / constd / typed / 'func' params? ID tparams? sig block?
+decl <- ';' / 'import' imports / vard / constd / typed / 'func' params? ID tparams? sig body?
 vard <- 'var' ('(' (varspec sep)* ')' / varspec)
 varspec <- ids (type ('=' exprs)? / '=' exprs)
 constd <- 'const' ('(' (constspec sep)* ')' / constspec)
@@ -158,12 +158,13 @@ type <- ID ('.' ID)? (!NLB '[' type (',' type)* ']')? / '*' type / '[' ('...' /
 struct <- 'struct' '{' (field sep)* '}'
 field <- (ids !NLB type / '*'? ID ('.' ID)? (!NLB '[' type (',' type)* ']')?) (!NLB STR)?
 interface <- 'interface' '{' ((ID params (!NLB (params / type))? / constraint) sep)* '}'
+body <- !NLB block
 block <- '{' stmts '}'
 stmts <- (';' / stmt sep)*
 stmt <- vard / constd / typed / 'return' (!NLB exprs)? / if / for / switch / 'select' '{' (('case' simple / 'default') ':' stmts)* '}' / ('go' / 'defer') expr / 'goto' ID / 'fallthrough' / ('break' / 'continue') (!NLB ID)? / block / ID ':' (!'}' stmt)? / simple
-if <- 'if' (simpleH? ';')? exprH block ('else' (if / block))?
-for <- 'for' (simpleH? ';' exprH? ';' simpleH? / (exprsH (':=' / '='))? 'range' exprH / exprH)? block
-switch <- 'switch' (simpleH? ';')? simpleH? '{' (('case' label (',' label)* / 'default') ':' stmts)* '}'
+if <- 'if' (simpleH? ';')? exprH body (!NLB 'else' (if / body))?
+for <- 'for' (simpleH? ';' exprH? ';' simpleH? / (exprsH (':=' / '='))? 'range' exprH / exprH)? body
+switch <- 'switch' (simpleH? ';')? simpleH? !NLB '{' (('case' label (',' label)* / 'default') ':' stmts)* '}'
 label <- type &(',' / ':') / expr
 assignop <- ':=' / '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '&=' / '|=' / '^=' / '<<=' / '>>=' / '&' '^='
 binop <- '||' / '&&' / '==' / '!=' / '<=' / '>=' / '<<' / '<' / '>' '>' / '>' / '+' / '-' / '*' / '/' / '%' / '&' '^' / '&' / '|' / '^'
@@ -182,27 +183,65 @@ postfix@ <- primary (!NLB tail@)*
 tail@ <- '.' (ID / '(' ('type' / type) ')') / '[' (expr? ':' expr? (':' expr)? / type (',' type)* ','? / expr) ']' / args LITERAL
 """
 GO = _GO + _GO_EXPR.replace("@", "").replace("LITERAL", "/ literal") + _GO_EXPR.replace("@", "H").replace(" LITERAL", "") + """
-primary <- NUM / STR / 'func' sig block / ('[' ('...' / expr)? ']' type / 'map' '[' type ']' type / struct) literal? / 'chan' type / interface / '(' expr ')' / '(' type ')' / ID
+primary <- NUM / STR / 'func' sig body / ('[' ('...' / expr)? ']' type / 'map' '[' type ']' type / struct) literal? / 'chan' type / interface / '(' expr ')' / '(' type ')' / ID
 """
-RUST = """
-file <- ('#' '!' bracket)* decl* END
-decl <- attr* vis? ('use' until / 'mod' ID (';' / brace) / ('struct' / 'union') ID head (';' / paren where ';' / brace) / 'enum' ID head brace / 'trait' ID head brace / 'unsafe'? ('impl' / 'trait') head brace / ('static' / 'const') !fnstart !'fn' until / 'type' until / fn / 'extern' STR? (brace / 'crate' until) / ID '!' ID? (brace / paren ';' / bracket ';'))
-fnstart <- 'unsafe' / 'async' / 'extern'
-fn <- ('const' / 'async' / 'unsafe' / 'extern' STR?)* 'fn' ID generics? paren head (brace / ';')
-generics <- '<' (!'{' !'(' !'>' unit / paren)* '>'+
-head <- (!'{' !';' !'(' unit / paren !';')*
-where <- (!';' unit)*
-attr <- '#' bracket
-vis <- 'pub' paren?
-until <- (!';' unit)+ ';'
-paren <- '(' inner ')'
-bracket <- '[' inner ']'
-brace <- '{' inner '}'
-inner <- unit*
-unit <- paren / bracket / brace / !('(' / '[' / '{' / '}' / ')' / ']' / END) pair
-pair <- !(binop &(')' / ']' / '}' / ';')) !(ID ID) ANY
-binop <- '+' / '-' / '/' / '%' / '==' / '!=' / '<=' / '>=' / '&&' / '='
+_RUST = """
+file <- inner item* END
+inner <- ('#' '!' '[' tree* ']')*
+attr <- '#' '[' tree* ']'
+tree <- '(' tree* ')' / '[' tree* ']' / '{' tree* '}' / !')' !']' !'}' ANY
+item <- ';' / attr* vis? (use / 'mod' ID (';' / '{' inner item* '}') / ('struct' / 'union') ID generics? where? (';' / '{' fields '}' / '(' (slot (',' slot)* ','?)? ')' where? ';') / 'enum' ID generics? where? '{' (variant (',' variant)* ','?)? '}' / 'unsafe'? 'trait' ID generics? (':' bounds)? where? '{' member* '}' / 'unsafe'? 'impl' generics? '!'? type ('for' type)? where? '{' inner member* '}' / 'static' 'mut'? ID ':' type ('=' expr)? ';' / 'extern' 'crate' ID ('as' ID)? ';' / 'unsafe'? 'extern' STR? '{' inner member* '}' / member0)
+member <- attr* vis? member0
+member0 <- 'type' ID generics? (':' bounds)? where? ('=' type)? where? ';' / 'const' ID ':' type ('=' expr)? ';' / 'static' 'mut'? ID ':' type ';' / fn / macrohead ID? ('{' tree* '}' / ('(' tree* ')' / '[' tree* ']') ';')
+vis <- 'pub' ('(' 'in'? segment ('::' segment)* ')')?
+use <- 'use' usetree ';'
+usetree <- '::'? (segment '::')* ('*' / '{' (usetree (',' usetree)* ','?)? '}' / segment ('as' ID)?)
+segment <- ID / 'crate'
+fields <- (field (',' field)* ','?)?
+field <- attr* vis? ID ':' type
+slot <- attr* vis? type
+variant <- attr* vis? ID ('{' fields '}' / '(' (slot (',' slot)* ','?)? ')')? ('=' expr)?
+fn <- ('const' / 'async' / 'unsafe' / 'extern' STR?)* 'fn' ID generics? '(' (param (',' param)* ','?)? ')' ('->' type)? where? (block / ';')
+param <- attr* ('&' LIFE? 'mut'? ID &(',' / ')') / pattern ':' ('...' / type) / 'mut'? ID / '...')
+generics <- '<' (gparam (',' gparam)* ','?)? '>'
+gparam <- attr* (LIFE (':' LIFE? ('+' LIFE)*)? / 'const' ID ':' type ('=' garg)? / ID (':' bounds?)? ('=' type)?)
+where <- 'where' (wpred (',' wpred)* ','?)?
+wpred <- LIFE ':' bounds? / ('for' generics)? type ':' bounds?
+bounds <- bound ('+' bound)* '+'?
+bound <- LIFE / '(' bound ')' / '?'? ('for' generics)? type
+type <- ('impl' / 'dyn') bounds / ('&' / '&&') LIFE? 'mut'? type / '*' ('const' / 'mut') type / '[' type (';' expr)? ']' / '(' (type (',' type)* ','?)? ')' / '!' / ('for' generics)? ('unsafe' / 'extern' STR? / 'async')* 'fn' '(' ((ID ':')? type (',' (ID ':')? type)* (',' '...')? ','?)? ')' ('->' type)? / macrohead '(' tree* ')' / ('<' type ('as' type)? '>' '::')? '::'? tsegment ('::' tsegment)*
+tsegment <- segment ('::'? gargs / '(' (type (',' type)* ','?)? ')' ('->' type)?)?
+gargs <- '<' (garg (',' garg)* ','?)? '>'
+garg <- LIFE / ID gargs? ('=' type / ':' bounds) / type / '-'? NUM / STR / block
+macrohead <- '::'? segment ('::' segment)* '!' !'='
+path <- ('<' type ('as' type)? '>' '::')? '::'? segment ('::' (gargs / segment))*
+block <- '{' inner stmt* '}'
+stmt <- ';' / attr* ('let' pattern (':' type)? ('=' expr ('else' block)?)? ';' / item / solid !'.' !'?' !'?.' / expr (';' / &'}'))
+solid <- (LIFE ':')? (if / match / 'while' cond block / 'loop' block / 'for' pattern 'in' exprH block / ('unsafe' / 'const')? block)
+if <- 'if' cond block ('else' (if / block))?
+cond <- ('let' pattern '=' exprH / exprH) ('&&' ('let' pattern '=' exprH / exprH))*
+match <- 'match' exprH '{' inner arm* '}'
+arm <- attr* pattern ('if' cond)? '=>' (expr (',' / &'}') / block)
+pattern <- '|'? pat ('|' pat)*
+pat <- lit ('.' '.' ('=' / '.')? lit?)? / '.' '.' ('=' lit)? / ('&' / '&&') 'mut'? pat / '(' (pattern (',' pattern)* ','?)? ')' / '[' (pattern (',' pattern)* ','?)? ']' / ('ref' / 'mut')* ID !'::' !'(' !'{' !'!' ('@' pat)? / macrohead '(' tree* ')' / path ('(' (pattern (',' pattern)* ','?)? ')' / '{' (fpat (',' fpat)* ','?)? '}' / '.' '.' ('=' / '.')? (lit / path))?
+fpat <- attr* ('.' '.' / ('ref' / 'mut')* (ID / NUM) (':' pattern)?)
+lit <- '-'? NUM / STR
+assignop <- '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '&=' / '|=' / '^=' / '<<=' / '>>=' / '>' '>='
+binop <- '||' / '&&' / '==' / '!=' / '<=' / '>=' / '<<' / '<' / '>' '>' / '>' / '+' / '-' / '*' / '/' / '%' / '&' / '|' / '^'
+tail <- '?.' (ID ('::' gargs)? / 'await' / NUM) / '?' / '??' / '.' !'.' (ID ('::' gargs)? / 'await' / NUM) / '(' (expr (',' expr)* ','?)? ')' / '[' expr ']'
+init <- '{' (sinit (',' sinit)* ','?)? '}'
+sinit <- attr* ('.' '.' expr? / (ID / NUM) (':' expr)?)
+cparam <- attr* pat (':' type)?
+"""
+# Expressions, and those of the heads of if, while, for and match, where a brace after a name begins the body.
+_RUST_EXPR = """
+expr@ <- attr* range@ (assignop expr@)?
+range@ <- '.' '.' '='? or@? / or@ ('.' '.' '='? or@?)?
+or@ <- unary@ (binop unary@ / 'as' type)*
+unary@ <- ('-' / '!' / '*' / ('&&' / '&') 'mut'?)* primary@ tail*
+primary@ <- NUM / STR / 'return' expr@? / 'break' LIFE? expr@? / ('move' / 'async' / 'static')* ('||' / '|' (cparam (',' cparam)* ','?)? '|') ('->' type block / expr@) / 'async' 'move'? block / solid / '(' (expr (',' expr)* ','?)? ')' / '[' (expr (';' expr / (',' expr)* ','?))? ']' / macrohead ('(' tree* ')' / '[' tree* ']' / '{' tree* '}') / path INIT / ID LIFE?
 """
+RUST = _RUST + _RUST_EXPR.replace("@", "").replace("INIT", "init?") + _RUST_EXPR.replace("@", "H").replace(" INIT", "")
 JAVA = """
 file <- (annots 'package' dotted ';')? (';' / 'import' 'static'? dotted ('.' '*')? ';')* (';' / type)* END
 dotted <- ID ('.' ID)*
@@ -240,10 +279,10 @@ catch <- 'catch' '(' mods jtype ('|' jtype)* ID ')' block
 finally <- 'finally' block
 swbody <- '{' (('case' label (',' label)* (ID ternary)? / 'default') (':' stmt* / '->' (block / 'throw' expr ';' / expr ';')))* '}'
 label <- 'default' / pattern / ternary
-pattern <- mods jtype (ID / '(' (pattern (',' pattern)*)? ')' ID?)
+pattern <- mods jtype (ID / '(' (pattern (',' pattern)*)? ')')
 expr <- lambda / ternary (assignop expr)?
 assignop <- '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '&=' / '|=' / '^=' / '<<=' / '>>>=' / '>>=' / '>' '>=' / '>' '>' '>='
-lambda <- (ID / '(' (ID (',' ID)* / params)? ')') '->' (block / expr)
+lambda <- (ID / '(' (ID (',' ID)* &')' / params)? ')') '->' (block / expr)
 ternary <- binary ('?' expr ':' (lambda / ternary))?
 binary <- unary (binop unary / 'instanceof' (pattern / 'final'? jtype))*
 binop <- '||' / '&&' / '|' / '^' / '&' / '==' / '!=' / '<=' / '>=' / '<<' / '<' / '>' '>' '>' / '>' '>' / '>' / '+' / '-' / '*' / '/' / '%'
@@ -265,7 +304,7 @@ attrs <- ('[' '[' (!']' ANY)* ']' ']')*
 aggregate <- ('class' / 'struct' / 'union') attrs qual? ('final')? (':' base (',' base)*)? '{' decl* '}' / ('class' / 'struct' / 'union') qual
 base <- ('public' / 'private' / 'protected' / 'virtual')* qual
 enum <- 'enum' ('class' / 'struct')? qual? (':' type)? '{' (ID ('=' ternary)? (',' ID ('=' ternary)?)* ','?)? '}' / 'enum' qual
-type <- ('const' / 'volatile' / 'unsigned' / 'signed' / 'long' / 'short' / 'struct' / 'class' / 'enum' / 'union' / 'typename' / 'static' / 'constexpr' / 'auto')* (qual / &('*' / '&' / '&&' / ')' / '>' / ',' / ID)) ('const' / 'volatile' / 'long' / 'unsigned')* ('*' / '&' / '&&' / 'const' / 'volatile')*
+type <- (('const' / 'volatile' / 'unsigned' / 'signed' / 'long' / 'short' / 'struct' / 'class' / 'enum' / 'union' / 'typename' / 'static' / 'constexpr' / 'auto')+ qual? / qual) ('const' / 'volatile' / 'long' / 'unsigned')* ('*' / '&' / '&&' / 'const' / 'volatile')*
 qual <- '::'? part ('::' part)*
 part <- '~'? ID targs? / 'operator' opname
 opname <- 'new' / 'delete' / '(' ')' / '[' ']' / '->' / '<' '<' / '>' '>' / '<<' / '<=' / '>=' / '==' / '!=' / '+=' / '-=' / '*=' / '/=' / '++' / '--' / '&&' / '||' / '+' / '-' / '*' / '/' / '%' / '<' / '>' / '!' / '=' / '&' / '|' / '^' / '~' / type
@@ -292,7 +331,9 @@ condvar <- spec+ ptrs ID ('=' assign / brace)
 stmt <- block / ';' / 'if' 'constexpr'? '(' (simple)? cond ')' stmt ('else' stmt)? / 'while' par stmt / 'do' stmt 'while' '(' expr ')' ';' / 'for' '(' forctl ')' stmt / 'switch' par stmt / 'case' ternary ':' / 'default' ':' / 'return' (brace / expr)? ';' / 'goto' ID ';' / ('break' / 'continue') ';' / 'throw' expr? ';' / 'try' block catch+ / 'using' (!';' unitish)+ ';' / ID ':' !':' stmt / 'template' stmt / local ';' / expr ';' / aggregate vars? ';' / enum vars? ';' / 'typedef' spec+ vars ';' / func
 unitish <- !'{' !'}' ANY
 simple <- local ';' / expr? ';'
-local <- spec+ vars
+local <- mod* core mod* vars / mod+ vars
+core <- aggregate / enum / &(declword) qual
+mod <- attrs ('const' / 'static' / 'unsigned' / 'signed' / 'long' / 'short' / 'inline' / 'extern' / 'constexpr' / 'volatile' / 'auto' / 'typename')
 forctl <- spec+ ptrs (ID / '[' ID (',' ID)* ']') ':' (brace / expr) / (local / expr)? ';' (cond)? ';' expr?
 catch <- 'catch' '(' ('...' / param) ')' block
 expr <- assign (',' assign)*

@@ -111,6 +111,9 @@ def tokens(text: str, ext: str) -> tuple[list[str], list[bool], list[int]]:
                 x = m.group()
                 if x == "'" or (x == "$" and fam not in ("ruby", "js")) or (x == "@" and fam in ("go", "c", "rust") and fam != "rust") or (x == "\\" and fam != "ruby") or (x == "#" and fam not in ("rust", "js")):
                     put("BAD", i)
+                elif x == "**" and fam in ("c", "go", "rust"):
+                    put("*", i)
+                    put("*", i + 1)
                 else:
                     put(x, i)
                 i = m.end()
@@ -159,6 +162,8 @@ def tokens(text: str, ext: str) -> tuple[list[str], list[bool], list[int]]:
         elif kind == "s":
             m = re.match(r"(?:[bB]?[rRuUbBfF]{0,2}#*|R)?(\"\"\"|'''|\"|'|`)", piece)
             quote = m.group(1) if m else '"'
+            if fam == "rust" and kinds and kinds[-1] == "ID" and text[places[-1] : a] in ("b", "r", "br", "c", "cr"):
+                kinds.pop(), breaks.pop(), places.pop()  # the mark of a byte or raw string
             closed = len(piece) >= m.end() + len(quote) and piece.rstrip("#").endswith(quote) if m else False
             put("STR" if closed else "BAD", a)
         else:
