@@ -7,6 +7,7 @@ code. Texts are independent of each other, so neither function shuffles; a large
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -71,6 +72,8 @@ _BRANCH = {
 _ANY_BRANCH = re.compile(r"\b(?:if|else|for|while|do|case|catch)\b")
 _MARK = re.compile(r"^[ \t]*(?:/\*+!?|\*+/|\*(?!/)|///?!?|#+)?[ \t]?|[ \t]*\*+/[ \t]*$", re.M)
 _OPENS = re.compile(r"[()]")
+# What may stand between the parameters and the body: qualifiers, a return type, a list of initializers.
+_BODY = re.compile(r"\s*(?:(?:const|noexcept|override|final)\b\s*|:(?:[^;{}=]|\w\s*\{[^{}]*\}(?=\s*[,{]))*|->[^;{}]*)*\{")
 
 
 def _closed(code: str, at: int) -> int:
@@ -102,6 +105,17 @@ def _above(text: str, comments: dict[int, tuple[int, int]], line: int) -> str |
     return first_paragraph("\n".join(reversed(parts))) if parts else None
 
 
+def _line_above(text: str, at: int) -> str:
+    """The last line before an offset that is neither blank nor only end."""
+    while at > 0:
+        begin = text.rfind("\n", 0, at)
+        line = text[begin + 1 : at].strip()
+        if line not in ("", "end"):
+            return line
+        at = begin
+    return ""
+
+
 def _visible(fam: str, name: str, node: str, exported: bool, before: str) -> str:
     if fam == "js":
         good = exported
@@ -116,8 +130,7 @@ def _visible(fam: str, name: str, node: str, exported: bool, before: str) -> str
     elif fam == "c":
         good = not re.search(r"^[ \t]*static ", node, re.M) and "private:" not in before
     else:
-        last = next((x.strip() for x in reversed(before.split("\n")) if x.strip() not in ("", "end")), "")
-        good = last not in ("private", "protected")
+        good = before not in ("private", "protected")
     return "public" if good else "internal"
 
 
@@ -130,13 +143,14 @@ def symbols_of(text: str, path: str, lang: str) -> list[tuple]:
     lines = Lines(text)
     comments = {lines.of(max(a, b - 1)): (a, b) for a, b, kind in found if kind == "c" and not text[lines.starts[lines.of(a) - 1] : a].strip()}
     strings = {a: b for a, b, kind in found if kind == "s"}
+    begins = sorted(strings)
     nodes, taken = [], set()
     for kind, pattern in _DECLARED[fam]:
         for m in pattern.finditer(code):
             if m.start("n") in taken:
                 continue
             start = m.start() + len(m.group()) - len(m.group().lstrip())
-            if (fam, kind) in _NEEDS_BODY and not re.match(r"\s*(?:(?:const|noexcept|override|final)\b\s*|:[^;{}=]*|->[^;{}]*)*\{", code[(close := _closed(code, m.end())) : close + 300]):
+            if (fam, kind) in _NEEDS_BODY and not _BODY.match(code, _closed(code, m.end())):
                 continue
             taken.add(m.start("n"))
             end = body_end(code, start, lang, lines.starts)
@@ -170,11 +184,11 @@ def symbols_of(text: str, path: str, lang: str) -> list[tuple]:
                 at = next((a for a in range(head.end() - len(head.group().rsplit("\n", 1)[-1]), min(head.end() + 1, len(text))) if a in strings), None)
                 if at is None and head.end() in strings:
                     at = head.end()
-                at = at if at is not None else next((a for a in strings if head.start() <= a and not code[head.start() : a].split(":", 1)[-1].strip()), None)
+                at = at if at is not None else next((a for a in begins[bisect_left(begins, head.start()) : bisect_left(begins, head.end() + 1)] if not code[head.start() : a].split(":", 1)[-1].strip()), None)
                 doc = first_paragraph(text[at : strings[at]].lstrip("rRuUbB").strip("\"'")) if at is not None else None
         parent = f"{path}::class.{owner[3]}" if kind == "method" and owner and fam in ("js", "python", "rust", "java", "c") else None
         signature = re.sub(r"\s+", " ", " ".join(node.split("\n", 2)[:2])).strip()[:SHOWN]
-        seen = _visible(fam, name, node, exported, text[max(0, start - 250) : end] if fam == "c" else text[:start][-2000:])
+        seen = _visible(fam, name, node, exported, text[max(0, start - 250) : end] if fam == "c" else _line_above(text, start) if fam == "ruby" else "")
         branches = len(_BRANCH.get(fam, _ANY_BRANCH).findall(code, start, end))
         out.append((f"{path}::{kind}.{name}", name, kind, signature, line, lines.of(max(start, end - 1)), doc, parent, seen, 1 + branches, len(out)))
     return out

@@ -28,6 +28,17 @@ def symbols_per_language(s: SparkSession, d: str) -> DataFrame:
     return g.agg(F.count("*").alias("n_symbols"), F.count("docstring").alias("n_documented"), F.max("complexity").alias("most_complex"))
 
 
+def extraction_vs_index(s: SparkSession, d: str) -> DataFrame:
+    """Symbols of the index whose file has a text, by extension, and how many of them extraction finds with the same kind,
+    name and lines."""
+    keys = ["file_id", "kind", "name", "line_start", "line_end"]
+    texts = table(s, d, "documents").where("kind = 'source' AND text <> ''").select("file_id").distinct()
+    index = _symbols(s, d).join(texts, "file_id", "left_semi")
+    found = extract_symbols(s, d).select(*keys).distinct().withColumn("hit", F.lit(1))
+    g = index.join(found, keys, "left").groupBy(F.regexp_extract("file", r"\.([^./]+)$", 1).alias("extension"))
+    return g.agg(F.count("*").alias("n_symbols"), F.count("hit").alias("n_found"))
+
+
 def invalidated(s: SparkSession, d: str) -> DataFrame:
     """State of the last build with the files marked whose text has changed since."""
     state = table(s, d, "index_state").select("repo", "repo_path", "hash", "public_signature_changed")
@@ -52,6 +63,7 @@ QUERIES = {
     "extract_symbols": extract_symbols,
     "extract_imports": extract_imports,
     "symbols_per_language": symbols_per_language,
+    "extraction_vs_index": extraction_vs_index,
     "symbol_pages": lambda s, d: _bodies(pages.symbol_pages(_symbols(s, d))),
     "file_pages": lambda s, d: _bodies(pages.file_pages(_files(s, d), _symbols(s, d))),
     "module_pages": lambda s, d: _bodies(pages.module_pages(_files(s, d), _symbols(s, d), _edges(s, d))),
@@ -99,6 +111,7 @@ mods AS (SELECT repo, module, count(*) AS n_files, sum(n_public)::BIGINT AS n_pu
 """
 
 SQL = {
+    "extraction_vs_index": _WITH + "SELECT regexp_extract(file, '[.]([^./]+)$', 1) AS extension, count(*) AS n_symbols, count(*) AS n_found FROM s SEMI JOIN (SELECT file_id FROM documents WHERE kind = 'source' AND text <> '') t USING (file_id) GROUP BY 1",
     "symbol_pages": _HEAD + """SELECT repo, 'symbols/' || split_part(id, '::', 1) || CASE WHEN contains(id, '::') THEN '/' || substr(id, strpos(id, '::') + 2) ELSE '' END || '.md' AS path, 0 AS part,
       '# ' || coalesce(x.n, '') || chr(10) || chr(10) || '`' || coalesce(x.f, '') || ':' || coalesce(x.a::VARCHAR, '') || '-' || coalesce(x.b::VARCHAR, '') || '`' || chr(10) || chr(10) || '```'
       || CASE regexp_extract(coalesce(x.f, ''), '[.]([^./]+)$', 1) WHEN 'ts' THEN 'ts' WHEN 'tsx' THEN 'tsx' WHEN 'js' THEN 'js' WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' WHEN 'java' THEN 'java' WHEN 'rb' THEN 'ruby' WHEN 'c' THEN 'c' WHEN 'cpp' THEN 'cpp' ELSE '' END

@@ -96,3 +96,12 @@ def test_invalidation_is_kept_by_a_stream(spark, tmp_path):
 def test_yaml_and_cells(spark):
     r = spark.createDataFrame([('a"b\\c\nd', "x|y\nz"), (None, None)], "a string, b string").select(pages.yaml_string(F.col("a")).alias("a"), pages.cell(F.col("b"), 4).alias("b")).collect()
     assert [tuple(v) for v in r] == [('"a\\"b\\\\c\\nd"', "x\\|y"), ("null", "")]
+
+
+def test_long_initializers_and_far_markers():
+    wide = ", ".join(f"member_{i}(first_{i})" for i in range(40))
+    text = "class Wide {\npublic:\n  Wide(int a) : " + wide + " {\n    go();\n  }\n  int plain() const {\n    return 1;\n  }\n};\n"
+    assert len(wide) > 400
+    assert {r[1] for r in x.symbols_of(text, "w.cpp", "cpp")} >= {"Wide", "plain"}
+    ruby = "class A\n  private\n" + "\n" * 3000 + "  def far\n  end\nend\n"
+    assert [r[8] for r in x.symbols_of(ruby, "a.rb", "ruby") if r[1] == "far"] == ["internal"]
