@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.lexing import FAMILY, Lines, body_end, masked, spans
 from codeloom.langs import language
+from codeloom.session import spread
 
 SYMBOLS = "file_id long, language string, id string, name string, kind string, signature string, line_start int, line_end int, docstring string, parent_id string, visibility string, complexity int, symbol_ord int"
 IMPORTS = "file_id long, target string, specifiers array<string>, edge_ord int"
@@ -242,7 +243,7 @@ def imports_of(text: str, lang: str) -> list[tuple[str, list[str]]]:
 def _sources(documents: DataFrame) -> DataFrame:
     rows = documents.where((F.col("kind") == "source") & F.col("file_id").isNotNull() & (F.length("text") > 0))
     rows = rows.select("file_id", "repo_path", language(F.col("repo_path")).alias("lang"), "text")
-    return rows.where(F.col("lang").isin(*FAMILY))
+    return spread(rows.where(F.col("lang").isin(*FAMILY)))
 
 
 def symbols(documents: DataFrame) -> DataFrame:

@@ -50,3 +50,10 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
 
     most = BROADCAST_BYTES // row_bytes
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many tasks as there are cores: tables of few small files are dealt out before costly work on
+    their rows; all others are worked on where they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
