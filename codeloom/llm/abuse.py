@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import spread
+
 #: Most labelled texts that the fit takes with verdict 0 and 1, by a hash of their id; each is read whole.
 SAMPLE = (6000, 1500)
 BUCKETS = 1 << 16
@@ -340,4 +342,4 @@ def scored(documents: DataFrame, model: np.ndarray) -> DataFrame:
                 texts = [t if isinstance(t, str) else None for t in part["text"]]
                 yield pd.DataFrame({"doc_id": part["doc_id"].values, "score": text_scores(texts, weights)})
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    return spread(documents.select("doc_id", "text")).mapInPandas(run, "doc_id long, score double")

@@ -20,7 +20,7 @@ from codeloom.functions.lexing import masked, spans
 from codeloom.functions.paths import normal_path
 from codeloom.langs import is_source, language
 from codeloom.llm.provenance_traits import traits
-from codeloom.session import cut, small
+from codeloom.session import cut, small, spread
 
 #: Least files and least share of decided ones of a mined pattern.
 MINED_FILES, MINED_SHARE = 6, 0.8
@@ -95,7 +95,7 @@ def examined(files: DataFrame, documents: DataFrame) -> DataFrame:
                 out.append((fid, "+".join(k for k, v in t.items() if v), hashlib.md5(code.encode()).hexdigest() if len(code) >= BODY_CHARS else None))
             yield pd.DataFrame(out, columns=["file_id", "own", "body"])
 
-    told = d.select("file_id", language(F.col("repo_path")).alias("lang"), "text").mapInPandas(run, "file_id long, own string, body string")
+    told = spread(d.select("file_id", language(F.col("repo_path")).alias("lang"), "text")).mapInPandas(run, "file_id long, own string, body string")
     told = told.groupBy("file_id").agg(F.min(F.struct("own", "body")).alias("t"))
     return f.join(told, "file_id").select("file_id", "r.repo", normal_path(F.col("r.repo_path")).alias("path"), "t.own", "t.body")
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import cut, small
+from codeloom.session import cut, small, spread
 
 #: Most different candidates that the fit takes, by a hash of the value; least probability of a credential.
 SAMPLE = 30_000
@@ -384,7 +384,7 @@ def extracted(documents: DataFrame, symbols: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["tbl", "row_key", "field", "path", "text_hash", "line_no", "at", "until", "name", "value", "how"])
 
     schema = "tbl string, row_key long, field string, path string, text_hash long, line_no int, at int, until int, name string, value string, how string"
-    return d.unionByName(parts[0]).unionByName(parts[1]).mapInPandas(run, schema)
+    return spread(d.unionByName(parts[0]).unionByName(parts[1])).mapInPandas(run, schema)
 
 
 def located(documents: DataFrame, symbols: DataFrame, sample: int = SAMPLE) -> DataFrame:

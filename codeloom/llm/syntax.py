@@ -19,6 +19,7 @@ from codeloom.functions.lexing import Lines, spans
 from codeloom.langs import EXTENSIONS, extension, is_source
 from codeloom.llm import grammars as G
 from codeloom.llm.peg import Grammar, compiled
+from codeloom.session import spread
 
 _PY_WORDS = set("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split())
 _PY_SOFT = {"match", "case", "type"}
@@ -269,6 +270,6 @@ def checked(files: DataFrame, documents: DataFrame) -> DataFrame:
                 out.append((fid, EXTENSIONS[ext], bad[0] if bad else None, bad[1] if bad else None))
             yield pd.DataFrame(out, columns=["file_id", "language", "line", "cause"]).astype({"line": "Int32"})
 
-    told = d.select("file_id", extension(F.col("repo_path")).alias("ext"), "text").mapInPandas(run, "file_id long, language string, line int, cause string")
+    told = spread(d.select("file_id", extension(F.col("repo_path")).alias("ext"), "text")).mapInPandas(run, "file_id long, language string, line int, cause string")
     told = told.groupBy("file_id").agg(F.min(F.struct("language", "line", "cause")).alias("t"))
     return f.join(told, "file_id").select("file_id", "r.repo", "t.language", "t.line", "t.cause")
