@@ -10,20 +10,20 @@ from codeloom.operators import pages
 from codeloom.streaming import changes
 
 CASES = [
-    ("a.py", "python", "def public_func(a):\n    '''Public function.'''\n    return a\n\n\nclass Greeter:\n    def __init__(self):\n        self.s = 'def no(): pass'\n\n\ndef _private():\n    pass\n",
-     [("function", "public_func", 1, 3, "public"), ("class", "Greeter", 6, 8, "public"), ("method", "__init__", 7, 8, "internal"), ("function", "_private", 11, 12, "internal")]),
+    ("ovens/bake.py", "python", "@timed\nasync def bake(tray: list[int] = (1, 2)) -> dict:\n    note = \"def no(): pass\"\n    return {}\n\nclass Oven(Base):\n    async def warm(self):\n        def inner():\n            pass\n    def _cool(self): pass\n",
+     [("function", "bake", 2, 4, "public"), ("class", "Oven", 6, 10, "public"), ("method", "warm", 7, 9, "public"), ("method", "inner", 8, 9, "public"), ("method", "_cool", 10, 10, "internal")]),
     ("a.ts", "typescript", "// not: function no() {}\nexport class A {\n  put(x: {a: number}): void {\n    if (x) { call(x); }\n  }\n}\nfunction f() { return 1; }\nexport interface I { a: string }\n",
      [("class", "A", 2, 6, "public"), ("method", "put", 3, 5, "public"), ("function", "f", 7, 7, "internal"), ("interface", "I", 8, 8, "public")]),
-    ("a.go", "go", "package a\n\ntype T struct {\n\ta int\n}\n\nfunc (t *T) Greet() {}\n\nfunc hidden() {\n}\n",
-     [("class", "T", 3, 5, "public"), ("method", "Greet", 7, 7, "public"), ("function", "hidden", 9, 10, "internal")]),
-    ("a.rs", "rust", "pub fn open_it() {}\nfn shut() {}\npub trait Greet { fn hi(&self); }\nimpl Greet for X {\n  fn hi(&self) { }\n}\n",
-     [("function", "open_it", 1, 1, "public"), ("function", "shut", 2, 2, "internal"), ("interface", "Greet", 3, 3, "public"), ("interface", "Greet", 4, 6, "internal"), ("method", "hi", 5, 5, "internal")]),
-    ("A.java", "java", "public class App {\n  public int counter() { return 1; }\n  private void secret() {}\n}\n",
-     [("class", "App", 1, 4, "public"), ("method", "counter", 2, 2, "public"), ("method", "secret", 3, 3, "internal")]),
-    ("a.c", "c", "int public_fn(int a) {\n  return a;\n}\nstatic int internal_fn(void) { return 0; }\nint declared(int a);\n",
-     [("function", "public_fn", 1, 3, "public"), ("function", "internal_fn", 4, 4, "internal")]),
-    ("a.rb", "ruby", "module Greeter\n  class Person\n    def greet\n      1\n    end\n  end\nend\n",
-     [("module", "Greeter", 1, 7, "public"), ("class", "Person", 2, 6, "public"), ("method", "greet", 3, 5, "public")]),
+    ("kiln.go", "go", "package kiln\n\ntype Shelf[K comparable] struct {\n\trows map[K]int\n}\n\ntype Filler interface{ Fill() }\n\nfunc (s *Shelf[K]) Stack(n int) (ok bool) {\n\treturn n > 0\n}\n\nfunc hidden() {\n}\n",
+     [("class", "Shelf", 3, 5, "public"), ("interface", "Filler", 7, 7, "public"), ("method", "Stack", 9, 11, "public"), ("function", "hidden", 13, 14, "internal")]),
+    ("a.rs", "rust", "pub fn open_it() {}\nfn shut() {}\npub trait Carry { fn lift(&self); }\nimpl Carry for Crate {\n  fn lift(&self) { }\n}\n",
+     [("function", "open_it", 1, 1, "public"), ("function", "shut", 2, 2, "internal"), ("interface", "Carry", 3, 3, "public"), ("interface", "Carry", 4, 6, "internal"), ("method", "lift", 5, 5, "internal")]),
+    ("Ferry.java", "java", "public final class Ferry {\n  enum Deck { UPPER, LOWER }\n  public <T> List<T> load(Map<String, T> in) { if (in == null) { return null; } return null; }\n  private void moor() {}\n}\n",
+     [("class", "Ferry", 1, 5, "public"), ("enum", "Deck", 2, 2, "internal"), ("method", "load", 3, 3, "public"), ("method", "moor", 4, 4, "internal")]),
+    ("tank.c", "c", "unsigned long fill_tank(const char *name, int litres) {\n  return litres;\n}\nstatic int drain(void) { return 0; }\nint declared_only(int a);\n",
+     [("function", "fill_tank", 1, 3, "public"), ("function", "drain", 4, 4, "internal")]),
+    ("dock.rb", "ruby", "module Dock\n  class Crane\n    def lift(load)\n      load.each do |x|\n        x\n      end\n    end\n  end\nend\n",
+     [("module", "Dock", 1, 9, "public"), ("class", "Crane", 2, 8, "public"), ("method", "lift", 3, 7, "public")]),
 ]
 
 
@@ -39,13 +39,13 @@ def test_docstring_parent_and_windows_line_ends():
 
 
 IMPORTS = [
-    ("typescript", "import { a, b, type C } from '../foo'\nexport default 'x'\nconst s = `\nimport q from 'no'\n`\n", [("../foo", ["a", "b", "C"])]),
-    ("python", "from .orders import place_order\nfrom ..billing import total as t\nimport os.path\n# import no\n", [(".orders", ["place_order"]), ("..billing", ["total"]), ("os.path", [])]),
-    ("go", 'package m\nimport (\n\t"fmt"\n\tm "x/y"\n)\nimport "io/ioutil"\n', [("fmt", []), ("x/y", []), ("io/ioutil", [])]),
-    ("rust", "use std::collections::HashMap;\nuse serde::{Serialize, Deserialize};\n", [("std::collections::HashMap", []), ("serde", ["Serialize", "Deserialize"])]),
-    ("java", "import com.example.Foo;\nimport java.util.*;\n", [("com.example.Foo", ["Foo"]), ("java.util.*", [])]),
-    ("cpp", '#include "foo.h"\n#include <stdio.h>\n', [("foo.h", [])]),
-    ("ruby", "require './orders'\nputs 'hi'\n", [("./orders", [])]),
+    ("typescript", "import Main, { tray, warm as heat, type Shelf } from '../kiln/oven'\nimport './polyfill'\nexport default 'x'\nconst s = `\nimport q from 'no'\n`\n", [("../kiln/oven", ["tray", "warm", "Shelf"]), ("./polyfill", [])]),
+    ("python", "from .shelf import (stack,\n    unstack)\nfrom ..yard import fill as f\nimport logging.handlers\n# import no\n", [(".shelf", ["stack", "unstack"]), ("..yard", ["fill"]), ("logging.handlers", [])]),
+    ("go", 'package kiln\nimport (\n\t"strings"\n\ty "yard/crane"\n)\nimport "net/http"\n', [("strings", []), ("yard/crane", []), ("net/http", [])]),
+    ("rust", "use std::rc::Rc;\nuse yard::{Crane, Hook};\n", [("std::rc::Rc", []), ("yard", ["Crane", "Hook"])]),
+    ("java", "import org.yard.Crane;\nimport static org.yard.Hooks.*;\n", [("org.yard.Crane", ["Crane"]), ("org.yard.Hooks.*", [])]),
+    ("cpp", '#include "yard/crane.h"\n#include <map>\n', [("yard/crane.h", [])]),
+    ("ruby", "require_relative '../yard/crane'\nputs 'require \"no\"'\n", [("../yard/crane", [])]),
 ]
 
 
@@ -56,9 +56,9 @@ def test_imports(lang, text, want):
 
 def test_resolution(spark):
     cases = [
-        ("main.py", ".foo", "python", "foo"), ("users/__init__.py", ".orders", "python", "users/orders"), ("users/__init__.py", "..billing", "python", "billing"),
-        ("main.py", "..x", "python", None), ("main.py", "os.path", "python", "os/path"), ("a/b.ts", "../../x", "typescript", None), ("a/b.ts", "react", "typescript", "react"),
-        ("src/bar/index.ts", "../foo", "typescript", "src/foo"), ("A.java", "a.b.*", "java", "a/b/.java"), ("A.java", "a.B", "java", "a/B.java"), ("app.rb", "./orders", "ruby", "orders"), ("s/a.c", "b.h", "c", "s/b.h"),
+        ("run.py", ".tray", "python", "tray"), ("yard/__init__.py", ".crane", "python", "yard/crane"), ("yard/__init__.py", "..kiln", "python", "kiln"),
+        ("run.py", "..x", "python", None), ("run.py", "logging.handlers", "python", "logging/handlers"), ("a/b.ts", "../../x", "typescript", None), ("a/b.ts", "react", "typescript", "react"),
+        ("web/kiln/index.ts", "../oven", "typescript", "web/oven"), ("A.java", "a.b.*", "java", "a/b/.java"), ("A.java", "a.B", "java", "a/B.java"), ("run.rb", "./crane", "ruby", "crane"), ("s/a.c", "b.h", "c", "s/b.h"),
     ]
     df = spark.createDataFrame(cases, "i string, t string, l string, want string")
     got = df.select("i", "t", x.resolved(F.col("i"), F.col("t"), F.col("l")).alias("got"), "want").collect()
