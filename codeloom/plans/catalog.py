@@ -130,7 +130,7 @@ SQL = {
 
     "member_hash": _WITH + "SELECT repo, module, sha256(string_agg(coalesce(content_hash, ''), '|' ORDER BY coalesce(content_hash, '')) || '|enrich-module') AS hash, count(*) AS n_files FROM f GROUP BY ALL",
     "state_diff": _WITH + ", t AS (SELECT DISTINCT repo, repo_path, hash FROM index_state) SELECT coalesce(f.repo, t.repo) AS repo, coalesce(f.repo_path, t.repo_path) AS repo_path, CASE WHEN t.repo IS NULL THEN 'added' WHEN f.repo IS NULL THEN 'removed' WHEN content_hash IS NOT DISTINCT FROM hash THEN 'same' ELSE 'changed' END AS change FROM f FULL JOIN t ON f.repo = t.repo AND f.repo_path = t.repo_path",
-    "stale_files": _WITH + ", b AS (SELECT repo, epoch_ms(max(last_indexed_at)) AS built FROM index_state GROUP BY repo) SELECT f.repo, f.repo_path FROM f JOIN b ON f.repo = b.repo WHERE f.mtime_ms > built",
+    "stale_files": _WITH + ", b AS (SELECT repo, epoch_us(max(last_indexed_at)) // 1000 AS built FROM index_state GROUP BY repo) SELECT f.repo, f.repo_path FROM f JOIN b ON f.repo = b.repo WHERE f.mtime_ms > built",
     "cache_miss": _WITH + "SELECT file_id, sha256(content_hash || '|enrich-file') AS key FROM f WHERE content_hash IS NOT NULL AND NOT EXISTS (SELECT 1 FROM index_state i WHERE i.hash = f.content_hash)",
     "debounce": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM events WHERE ts IS NOT NULL), h AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS started_at, count(*) AS n_events FROM h GROUP BY user_id, k",
     "dependent_counts": _WITH + "SELECT repo, to_path AS path, count(DISTINCT from_path) AS n_dependents FROM e GROUP BY repo, to_path",
@@ -166,5 +166,5 @@ SQL = {
     "resource_routes": _WITH + """SELECT kind, id, CASE band WHEN 0 THEN 'modules/' || id || '.md' WHEN 1 THEN 'files/' || id || '.md' ELSE 'symbols/' || id || '.md' END AS path, band * 50 AS first_row FROM (SELECT DISTINCT band, CASE band WHEN 0 THEN 'module' WHEN 1 THEN 'file' ELSE 'symbol' END AS kind, id FROM entry WHERE id <> '')""",
     "callers": _WITH + "SELECT DISTINCT s.repo, s.id, from_path AS other FROM s JOIN e ON s.repo = e.repo AND split_part(s.id, '::', 1) = e.to_path WHERE id <> ''",
     "callees": _WITH + "SELECT DISTINCT s.repo, s.id, to_path AS other FROM s JOIN e ON s.repo = e.repo AND split_part(s.id, '::', 1) = e.from_path WHERE id <> ''",
-    "stale_counts": _WITH + ", b AS (SELECT repo, epoch_ms(max(last_indexed_at)) AS built FROM index_state GROUP BY repo) SELECT repo, count(*) AS n_files, count(*) FILTER (mtime_ms > built) AS n_stale, max(trunc(mtime_ms)::BIGINT - built) AS latest_ms FROM f JOIN b USING (repo) GROUP BY repo",
+    "stale_counts": _WITH + ", b AS (SELECT repo, epoch_us(max(last_indexed_at)) // 1000 AS built FROM index_state GROUP BY repo) SELECT repo, count(*) AS n_files, count(*) FILTER (mtime_ms > built) AS n_stale, max(trunc(mtime_ms)::BIGINT - built) AS latest_ms FROM f JOIN b USING (repo) GROUP BY repo",
 }
